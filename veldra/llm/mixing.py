@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import bucket_count, materialize, n_words
+from veldra.llm.common import ASCII_SPACE, bucket_count, materialize, n_words
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
 #: Start of each source's schedule relative to its mean, repeating by source rank: heavier early, even, heavier late.
@@ -120,3 +120,11 @@ def schedule(mixed: DataFrame) -> DataFrame:
     keep = [c for c in mixed.columns if c not in ("uses", "position")]
     used = mixed.select(*keep, F.explode("uses").alias("use"))
     return used.select(*keep, "use.epoch", "use.words", "use.position").orderBy("position", "doc_id", "epoch")
+
+
+def first_words(text: Column, words: Column, size: Column) -> Column:
+    """``text`` up to the end of its first ``words`` words of ``size``; whole where the two are equal."""
+    runs = F.split(text, f"(?<=[{ASCII_SPACE}])(?=[^{ASCII_SPACE}])")
+    lead = F.when(F.btrim(F.element_at(runs, 1), F.lit(ASCII_SPACE)) == "", 1).otherwise(0)
+    part = F.array_join(F.slice(runs, F.lit(1), (words + lead).cast("int")), "")
+    return F.when(words >= size, text).otherwise(part)
