@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import lines, mixing, simhash
+from veldra.llm import lines, mixing, packing, simhash, toxicity
 from veldra.llm.common import materialize
+from veldra.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,6 +19,12 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs.select(*COLUMNS), labels).where("toxic = 0").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines go, except in one document each."""
     return _documents(lines.dedup_lines(docs.select(*COLUMNS)))
@@ -28,7 +35,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
-STAGES = [("line dedup", line_dedup), ("near dedup", near_dedup)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each use of a document, range-sorted by training position; a cut use keeps its first words."""
+    used = mixing.schedule(mixing.mix(docs.select(*COLUMNS)))
+    return _documents(used.withColumn("text", mixing.first_words(F.col("text"), F.col("words"), F.col("size"))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and offset."""
+    return packing.pack(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", clean), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 
