@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import lines, mixing, multi_index, packing, simhash, toxicity, warc
+from veldra.llm import lines, mixing, multi_index, packing, pii, simhash, toxicity, warc
 from veldra.llm.common import new_path
 
 
@@ -39,6 +39,11 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_entities")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_multi_index": op5_multi_index,
+    "op6_surrogates": op6_surrogates,
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
