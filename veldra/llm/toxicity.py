@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CATEGORIES = ("low_quality", "toxic")
 #: The chain is fitted on so many labelled rows, the first in the order of ``xxhash64(doc_id)``.
@@ -212,5 +213,5 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
                 extra = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(toxic.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names)
 
-    schema = rows.schema.add("p_low_quality", "double").add("p_toxic", "double").add("toxic", "int")
-    return rows.mapInArrow(run, schema)
+    results = [T.StructField("p_low_quality", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.IntegerType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *results]))
