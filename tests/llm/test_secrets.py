@@ -1,0 +1,37 @@
+"""Secret scanning: held-out accuracy of the forest, candidates against a plain search, whole documents."""
+
+import regex
+from pyspark.sql import functions as F
+
+from veldra.llm import queries, secrets
+
+
+def test_held_out_accuracy(spark):
+    rows = secrets.findings(spark).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(3))).cache()
+    forest = secrets.train(rows.where("part > 0"))
+    from pyspark.ml.feature import VectorAssembler
+
+    held = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.features(rows.where("part = 0")))
+    got = forest.transform(held).select("label", "prediction").collect()
+    assert len(got) > 600 and sum(r.label == r.prediction for r in got) / len(got) > 0.97
+
+
+def test_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {(r.doc_id, r.pos): r for r in queries.op10_secrets(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {(d.doc_id, i): m.group() for d in docs for i, m in enumerate(regex.finditer(secrets.PATTERN, d.text))}
+    assert got.keys() == want.keys()
+    assert all(want[k].endswith(r.value) for k, r in got.items())
+    planted = [(d.doc_id, v) for d in docs for v in regex.findall(r'token = "([0-9a-f]{40})"', d.text)]
+    assert planted and set(planted) <= {(r.doc_id, r.value) for r in got.values() if r.is_secret}
+
+
+def test_odd_rows(spark):
+    forest = secrets.train(secrets.findings(spark, 600))
+    rows = [(1, None), (2, ""), (None, "AKIA" + "A1B2C3D4E5F6G7H8"), (3, 'password = "hunter2!x9"\n' * 2), (3, 'password = "hunter2!x9"\n' * 2), (4, "word " * 30000 + "\nghp_" + "a1B2c3D4e5F6" * 3), (5, "x" * 30000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS value", "2 AS path", "3 AS length", "'t' AS source")
+    got = secrets.scan(docs, forest).collect()
+    assert sorted(((r.doc_id, r.pos) for r in got), key=repr) == sorted([(None, 0), (3, 0), (3, 1), (3, 0), (3, 1), (4, 0)], key=repr)
+    assert all(r.is_secret for r in got if r.doc_id in (None, 4))
+    assert secrets.scan(docs.drop("source").limit(0), forest).collect() == []

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import lines, mixing, multi_index, packing, pii, simhash, toxicity, warc
-from veldra.llm.common import new_path
+from veldra.llm import lines, mixing, multi_index, packing, pii, search, secrets, simhash, toxicity, warc
+from veldra.llm.common import materialize, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.more_like_this(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,7 +65,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(materialize(secrets.findings(spark), "findings"))
+    out = secrets.scan(_table(spark, sf_dir, "documents"), forest)
+    return out.select("doc_id", "pos", "value", F.round("p_secret", 6).alias("p_secret"), "is_secret")
+
+
 QUERIES = {
+    "op1_search": op1_search,
     "op2_simhash": op2_simhash,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
@@ -69,8 +81,24 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_secrets": op10_secrets,
 }
 
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+st AS (SELECT count(*) AS n, (SELECT count(*) FROM w) / count(*) AS mean FROM documents),
+df AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+q AS (SELECT doc_id AS query_id, term, idf FROM tf JOIN df USING (term) WHERE doc_id % 100 = 0 AND df >= 2
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, term) <= 25),
+s AS (SELECT query_id, tf.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT mean FROM st)))), 6) AS score
+      FROM q JOIN tf USING (term) JOIN dl ON dl.doc_id = tf.doc_id WHERE tf.doc_id <> query_id GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 OP4_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -118,4 +146,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM k
 """
 
-ORACLE_SQL = {"op9_warc": OP9_SQL, "op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_search": OP1_SQL, "op9_warc": OP9_SQL, "op4_mixing": OP4_SQL, "op7_line_dedup": OP7_SQL}
