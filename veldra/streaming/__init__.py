@@ -1 +1 @@
-
+"""Incremental index building."""
