@@ -58,7 +58,11 @@ class Blocks(HTMLParser):
             self.open.append(block)
         elif tag == "li":
             self._end("li", until=_LISTS)
-            self.open.append({"tag": "li", "parts": [], "links": []})
+            item = {"tag": "li", "parts": [], "links": []}
+            for block in self.open:  # items of nested lists count for the outer ones too
+                if block["tag"] in _LISTS:
+                    block["items"].append(item)
+            self.open.append(item)
         elif tag == "a" and named.get("href"):
             for block in self.open:
                 if named["href"] not in block["links"]:
@@ -82,19 +86,11 @@ class Blocks(HTMLParser):
         """Close the innermost open ``tag`` with what is open inside it, unless ``until`` stands before it."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
-                for done in self.open[i:]:
-                    self._filed(done, i)
                 del self.open[i:]
                 return
             if self.open[i]["tag"] in until:
                 return
 
-    def _filed(self, done: dict, depth: int) -> None:
-        if done["tag"] == "li":
-            for outer in self.open[:depth]:
-                if outer["tag"] in _LISTS and (text := " ".join(done["parts"])):
-                    outer["items"].append(text)
-
     def close(self) -> None:
         super().close()
         for tag in ("p", "li", *_LISTS):
@@ -104,7 +100,7 @@ class Blocks(HTMLParser):
 
 def text_of(block: dict) -> str:
     if block["tag"] in _LISTS and block["items"]:
-        return "; ".join(block["items"])
+        return "; ".join(t for item in block["items"] if (t := " ".join(item["parts"])))
     return " ".join(block["parts"])
 
 
