@@ -55,3 +55,11 @@ def test_mixing_odd_rows(spark):
     positions = [r.position for r in mixing.schedule(mixing.mix(docs)).collect()]
     assert positions == sorted(positions)
     assert mixing.mix(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text, n, want", [("a b c", 2, "a b "), (" a\n b  c", 2, " a\n b  "), ("a b", 2, "a b"), ("é  f g", 1, "é  ")])
+def test_first_words(spark, text, n, want):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(text, n, len(text.split()))], "t string, n long, s long")
+    assert row.select(mixing.first_words(F.col("t"), F.col("n"), F.col("s")).alias("x")).first().x == want
