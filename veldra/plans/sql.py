@@ -239,7 +239,17 @@ SELECT qid, path, hits, CAST(row_number() OVER (PARTITION BY qid ORDER BY hits D
     "resume_antijoin": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "id_difference": "SELECT doc_id AS id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) UNION ALL SELECT vec_id, 'right' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
     "percent_sample": "SELECT doc_id, lang FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT (SELECT CAST(greatest(1, round_even(count(*) * 0.125, 0)) AS BIGINT) FROM documents)",
-    "html_links": "SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]+)\"', 1), lambda x: x), lambda x: true), ' ') AS links FROM pages",
+    "html_links": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href="([^"]+)"', 1) AS l FROM pages)
+SELECT page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS links FROM l""",
+    "html_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b)
+SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM c""",
+    "question_anchors": rf"""WITH {_QUESTIONS}, w AS (SELECT qid, regexp_extract_all(array_to_string(regexp_extract_all('(' || question || ')', '\(([^)]*)\)', 1), ' '), '[A-Za-zÅÄÖåäö-]{{5,}}') AS raw FROM q),
+k AS (SELECT qid, list_transform(list_filter(raw, lambda w: length(trim(translate(lower(w), 'åäö', 'aao'), '-_')) >= 6 AND (regexp_matches(trim(translate(lower(w), 'åäö', 'aao'), '-_'), 'ation|thing') OR (length(w) >= 10 AND regexp_matches(w, '[ÅÄÖåäö]')))), lambda w: trim(translate(lower(w), 'åäö', 'aao'), '-_')) AS l FROM w)
+SELECT qid, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS anchors FROM k""",
+    "source_previews": rf"""WITH {_QUESTIONS}, {_CHUNKS}, {_SIM}, t AS ({_top('sim', 'similarity', 3)})
+SELECT qid, rank, source_file AS title, CASE WHEN section_title <> '' THEN section_title ELSE statute_name END AS section, CAST(length(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 280)) AS INT) AS n_preview FROM t JOIN c USING (idx)""",
     "report_summary": f"""WITH {_RESULTS}, m AS (SELECT method, tier AS model, avg(CAST(passed AS INT)) AS b, count(*) AS n FROM r GROUP BY ALL), pr AS (SELECT method, round(avg(CAST(passed AS INT)), 6) AS pass_rate, CAST(count(*) AS INT) AS n FROM r GROUP BY method)
 SELECT m.method, model, row_number() OVER (PARTITION BY m.method ORDER BY b DESC, model DESC) = 1 AS is_best, pr.n, pass_rate, round(b, 6) AS cv_bal_acc, round(b - 0.5, 6) AS delta_bal, CAST(1 AS INT) AS nonzero_count, 'x' AS top FROM m JOIN pr USING (method)""",
 }
