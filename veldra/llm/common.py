@@ -77,9 +77,9 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("__v_k1"), F.xxhash64(F.lit(7), *cols).alias("__v_k2")]
 
 
-def bucket_count(rows: int, per_bucket: int = 100_000) -> int:
-    """A power of two of buckets that hold about ``per_bucket`` rows each."""
+def bucket_count(rows: int, per_bucket: int = 2048, most: int = 65_536) -> int:
+    """A power of two of buckets that hold about ``per_bucket`` rows each, up to ``most`` buckets."""
     n = 1
-    while n * per_bucket < rows:
+    while n * per_bucket < rows and n < most:
         n *= 2
     return n

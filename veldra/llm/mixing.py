@@ -79,11 +79,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataF
     sized = base.withColumn("size", n_words(F.col("text"))).withColumn("__v_order", order)
     slim = materialize(sized.select("source", "size", "__v_order"), "mix-sizes")
     buckets = bucket_count(slim.count())
-    digits = 4 if buckets <= 65536 else 6
 
     def bucket() -> Column:
         # Buckets are ranges of the order, so that prefix sums over them respect it.
-        return F.floor(F.conv(F.substring("__v_order", 1, digits), 16, 10).cast("long") * buckets / 16**digits).cast("long")
+        return F.floor(F.conv(F.substring("__v_order", 1, 4), 16, 10).cast("long") * buckets / 65_536).cast("long")
 
     targets = materialize(source_targets(slim, weights, max_repeat), "mix-targets")
     per = slim.withColumn("__v_bucket", bucket()).groupBy("source", "__v_bucket").agg(F.sum("size").alias("__v_sum"))
