@@ -6,7 +6,9 @@ the block maxima of its terms over each run (the weak-AND test): runs whose sum
 best score so far are skipped unread. Document counts, lengths and frequencies are those of all
 documents, so scores compare across shards and the merge of the shards' results is exact.
 
-Queries come in blocks; a shard's index for a block of queries holds only the terms they ask for.
+Terms are named by a 64-bit hash that is checked to tell every query term from every other word of the
+corpus. Postings of words that no query asks for are filtered out where documents are read, and a
+document's other postings travel together as one row.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize
+from veldra.llm.common import WORD_PATTERN, ascii_lower, materialize
 
 K1, B, TOP = 1.2, 0.75, 10
 #: A query is its document's terms of largest tf-idf weight, so many of them, among terms of two documents or more.
 TERMS, MIN_DF = 25, 2
 #: Documents of a shard, documents of a run (block), queries of a block.
-SHARD, RUN, QUERIES = 32_768, 64, 4096
-#: Bits of the filter over query terms that postings pass before they are joined; a fixed 4 MB.
+SHARD, RUN, QUERIES = 8192, 64, 65_536
+#: Bits of the filter over query terms that postings pass before they are sent to shards; a fixed 4 MB.
 FILTER_BITS = 1 << 25
 #: Scores are rounded to so many digits before they are compared, so that ties go by id alone.
 DIGITS = 6
@@ -58,8 +60,15 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def term_counts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """``(doc_id, dl, term, tf)`` for each distinct term of each document, or those whose filter bit is set."""
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, term, tf)`` for each distinct term of each document, by DataFrame functions."""
+    low = ascii_lower(F.coalesce("text", F.lit("")))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(WORD_PATTERN), F.lit(0))).alias("term"))
+    return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
+    """``(doc_id, dl, tids, tfs)`` for each document: ids and counts of its terms whose filter bit is set, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted
@@ -70,28 +79,21 @@ def term_counts(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
                 tf: dict[bytes, int] = {}
                 for w in words:
                     tf[w] = tf.get(w, 0) + 1
-                if bits is not None:
-                    at = [xxhash.xxh64_intdigest(w, 42) & (FILTER_BITS - 1) for w in tf]
-                    tf = {w: n for w, n, a in zip(tf, tf.values(), at, strict=True) if bits[a >> 3] >> (a & 7) & 1}
-                rows[0].extend([i] * len(tf))
-                rows[1].extend([len(words)] * len(tf))
-                rows[2].extend(tf)
-                rows[3].extend(tf.values())
-                if len(rows[0]) > 50_000:
-                    yield batch_of(rows)
-                    rows = ([], [], [], [])
-            yield batch_of(rows)
-
-    def batch_of(rows: tuple[list, ...]) -> pa.RecordBatch:
-        arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()).cast(pa.string()), pa.array(rows[3], pa.int64())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "dl", "term", "tf"])
+                tid = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in tf), dtype=np.uint64, count=len(tf))
+                at = tid & np.uint64(FILTER_BITS - 1)
+                kept = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                if kept.any():
+                    for column, value in zip(rows, (i, len(words), tid[kept].tobytes(), np.fromiter(tf.values(), np.uint32, len(tf))[kept].tobytes()), strict=True):
+                        column.append(value)
+            arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "dl", "tids", "tfs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, dl long, term string, tf long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, dl long, tids binary, tfs binary")
 
 
 def term_filter(terms: DataFrame) -> np.ndarray:
-    """A bit array over ``xxhash64(term)``: 4 MB at most come to the driver, whatever the number of terms."""
-    at = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)) + 1  # positions count from 1
+    """A bit array over the ids ``tid`` of terms: 4 MB at most come to the driver, whatever the number of terms."""
+    at = F.pmod("tid", F.lit(FILTER_BITS)) + 1  # positions count from 1
     parts = terms.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for r in parts.toLocalIterator():
@@ -159,14 +161,26 @@ class Shard:
         return ids, scores
 
 
-def queries_of(docs: DataFrame, df: DataFrame, n_docs: int, every: int, terms: int) -> DataFrame:
-    """``(query_id, term, weight)``: the terms of largest tf-idf of each document whose id divides by ``every``."""
+def queries_of(docs: DataFrame, df: DataFrame, n_docs: int, every: int, terms: int) -> tuple[DataFrame, int]:
+    """``(query_id, tid, weight)``: the terms of largest tf-idf of each document whose id divides by ``every``.
+
+    Also the seed of the ids. Queried words meet the vocabulary by id; should two words share one, the ids
+    are drawn again with another seed, so an id names one word.
+    """
     asked = term_counts(docs.where(F.col("doc_id") % every == 0).dropDuplicates(["doc_id"]))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df.where(F.col("df") >= MIN_DF), "term").withColumn("weight", idf)
+    for draw in range(16):
+        named = lambda t: F.xxhash64(F.lit(draw), t)  # noqa: B023, E731
+        known = df.select(F.col("term").alias("word"), "df", named(F.col("term")).alias("tid"))
+        met = materialize(asked.withColumn("tid", named(F.col("term"))).join(known, "tid"), "asked")
+        if not met.where("term <> word").head():
+            break
+    else:
+        raise ValueError("no seed tells the words apart")
+    seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(draw)).alias("h")).first().h % (1 << 64)
+    weighed = met.where(F.col("df") >= MIN_DF).withColumn("weight", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     order = Window.partitionBy("doc_id").orderBy(F.round(F.col("tf") * F.col("weight"), 9).desc(), "term")
     top = weighed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= terms)
-    return top.select(F.col("doc_id").alias("query_id"), "term", "weight")
+    return top.select(F.col("doc_id").alias("query_id"), "tid", "weight"), seed
 
 
 def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int = TERMS) -> DataFrame:
@@ -188,34 +202,31 @@ def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
     df = materialize(document_frequencies(rows), "frequencies")
-    asked = materialize(queries_of(rows, df, total.n, every, terms), "queries")
+    asked, seed = queries_of(rows, df, total.n, every, terms)
+    asked = materialize(asked, "queries")
     mean = max(float(total.words or 0), 1.0) / max(total.n, 1)
     shards = -(-total.n // SHARD) or 1
     blocks = -(-asked.select("query_id").distinct().count() // QUERIES) or 1
 
+    found = postings(rows.where("doc_id IS NOT NULL"), term_filter(asked), seed)
+    each_block, each_shard = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    sent = found.select(each_block.alias("block"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "dl", "tids", "tfs")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    names = materialize(asked.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
-    asked = materialize(asked.join(names, "term").select(block.alias("block"), "query_id", "tid", "weight"), "queries")
-    spread = materialize(names.join(asked.select("block", "tid").distinct(), "tid").select("term", "tid", "block"), "spread")
-    bits = term_filter(names)
-    found = term_counts(rows.where("doc_id IS NOT NULL"), bits)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean)
-    gain = F.col("tf") * (K1 + 1) / norm
-    postings = found.join(spread, "term").select("block", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "tid", "doc_id", gain.alias("gain"))
-    questions = asked.select("block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "query_id", "tid", "weight")
+    bags = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "weight"))).alias("bag"))
+    questions = bags.select(block.alias("block"), each_shard.alias("shard"), "query_id", F.col("bag.tid").alias("tid"), F.col("bag.weight").alias("weight"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
-        if len(left):
-            shard = Shard(left["tid"].to_numpy(), left["doc_id"].to_numpy(), left["gain"].to_numpy())
-            right = right.sort_values(["query_id", "tid"])
-            qid, tid, weight = (right[c].to_numpy() for c in ("query_id", "tid", "weight"))
-            edges = np.append(np.flatnonzero(np.append(True, qid[1:] != qid[:-1])), len(qid)) if len(qid) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                ids, scores = shard.search(tid[a:b], weight[a:b], int(qid[a]), top)
-                made.append(pd.DataFrame({"query_id": qid[a], "doc_id": ids, "score": scores}))
+        if len(left) and len(right):
+            size = left["tids"].str.len().to_numpy() // 8
+            tf = np.frombuffer(b"".join(left["tfs"]), np.uint32).astype(np.float64)
+            norm = np.repeat(K1 * (1 - B + B * left["dl"].to_numpy() / mean), size)
+            shard = Shard(np.frombuffer(b"".join(left["tids"]), np.int64), np.repeat(left["doc_id"].to_numpy(), size), tf * (K1 + 1) / (tf + norm))
+            for qid, tid, weight in zip(right["query_id"], right["tid"], right["weight"], strict=True):
+                ids, scores = shard.search(np.asarray(tid), np.asarray(weight), int(qid), top)
+                made.append(pd.DataFrame({"query_id": qid, "doc_id": ids, "score": scores}))
         return pd.concat(made) if made else pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
 
-    near = postings.groupBy("block", "shard").cogroup(questions.groupBy("block", "shard")).applyInPandas(search, "query_id long, doc_id long, score double")
+    near = sent.groupBy("block", "shard").cogroup(questions.groupBy("block", "shard")).applyInPandas(search, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
