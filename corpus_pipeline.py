@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldra.llm import lines, mixing, packing, simhash, toxicity
+from veldra.llm import lines, mixing, near, packing, toxicity
 from veldra.llm.common import materialize
 from veldra.llm.queries import vocabulary
 
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return near.one_of_each(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ group, by construction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -60,7 +60,7 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return bits.sum(axis=0, dtype=np.int64)
 
 
-def _keys(docs: DataFrame) -> list[Column]:
+def row_keys(docs: DataFrame) -> list[Column]:
     return row_key(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             got = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got.view(np.int64))], ["doc_id", "__v_k1", "__v_k2", "fp"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_keys(docs), docs["text"].cast("string").alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *row_keys(docs), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, __v_k1 long, __v_k2 long, fp long")
 
 
@@ -217,9 +217,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     row (then null). Repeated rows each get their row.
     """
     marked = materialize(fingerprints(docs, width), "fingerprints")
+    return components_of(marked, lambda reps: links(reps.select("fp")))
+
+
+def components_of(marked: DataFrame, find: Callable[[DataFrame], DataFrame], carried: Sequence[Column] = ()) -> DataFrame:
+    """The rows of :func:`near_duplicates` for ``marked`` rows and the links that ``find`` has for their distinct ``fp``."""
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__v_k1", "__v_k2")).alias("rep")
-    reps = materialize(marked.groupBy("fp").agg(rep), "distinct-fp")
-    labels = connected_components(links(reps.select("fp")))
+    reps = materialize(marked.groupBy("fp").agg(rep, *carried), "distinct-fp")
+    labels = connected_components(find(reps))
     joined = reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = materialize(joined.groupBy("label").agg(F.min("rep").alias("least")), "classes")
     named = materialize(joined.join(least, "label").select("fp", "least"), "components")
@@ -234,7 +239,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Cases are those of :func:`near_duplicates`; of rows that repeat the representative one stays.
     """
-    keep = near_duplicates(docs).where("stays").select("__v_k1", "__v_k2").distinct()
-    k1, k2 = _keys(docs)
+    return rows_that_stay(docs, near_duplicates(docs))
+
+
+def rows_that_stay(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` marks, one of those that repeat."""
+    keep = found.where("stays").select("__v_k1", "__v_k2").distinct()
+    k1, k2 = row_keys(docs)
     rows = docs.withColumns({"__v_k1": k1, "__v_k2": k2}).join(keep, ["__v_k1", "__v_k2"], "left_semi")
     return rows.dropDuplicates(["__v_k1", "__v_k2"]).select(*docs.columns)
