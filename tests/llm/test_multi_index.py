@@ -66,3 +66,16 @@ def test_walk_goes_by_summed_distance():
     a, b, counts = rng.random(7), rng.random(5), rng.integers(0, 3, (7, 5))
     order = [(a[i] + b[j], i * 5 + j) for i in range(7) for j in range(5) if counts[i, j]]
     assert multi_index.walk(a, b, counts, 10**9) == [c for _, c in heapq.nsmallest(99, order)]
+
+
+def test_recall_with_pruning_on_isotropic_vectors(spark):
+    rng = np.random.default_rng(11)
+    centres = 0.07 * rng.normal(size=(10, 64)) / 8
+    vectors = centres[np.arange(20_000) % 10] + rng.normal(size=(20_000, 64)) / 8
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = {}
+    for r in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(rows)
+    recall = np.mean([len({i for i, _ in want[q]} & got[q]) / 10 for q in want])
+    assert recall >= 0.9, recall

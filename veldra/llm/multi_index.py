@@ -25,6 +25,8 @@ K = 32
 SAMPLE, ROUNDS = 8192, 8
 #: A query passes cells until they hold this share of all vectors, and at least so many.
 SHARE, LEAST = 0.04, 2048
+#: The share is raised until the walks of so many sampled vectors meet this share of their nearest in the sample.
+TRIED, RECALL = 256, 0.95
 #: Rows of vectors and of queries that meet in one task's group, about.
 ROWS, QUERIES = 8192, 2048
 TOP = 10
@@ -70,6 +72,24 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
     return cells
 
 
+def needed_share(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], top: int = TOP) -> float:
+    """The share of the sample ``x`` that walks must pass to meet :data:`RECALL` of the true nearest in it.
+
+    Nearest vectors of the whole table are nearer than those of a sample, so they need no larger share.
+    """
+    half = books[0].shape[1]
+    one, two = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+    a, b = one.argmin(axis=1), two.argmin(axis=1)
+    shares = []
+    for i in range(min(TRIED, len(x))):
+        far = ((x - x[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        near = np.argsort(far, kind="stable")[: min(top, len(x) - 1)]
+        cell = one[i, a] + two[i, b]
+        shares.append(np.searchsorted(np.sort(cell), cell[near], side="right") / len(x))
+    return float(np.quantile(np.concatenate(shares), RECALL)) if shares and len(x) > 1 else 0.0
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """``(vec_id, v)`` for vectors that can take part, components as doubles.
 
@@ -118,7 +138,7 @@ def nearest(vectors: DataFrame, every: int = 100, top: int = TOP, k: int = K, sh
     held = {r.cell: r.n for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most k * k rows
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     counts[list(held)] = list(held.values())
-    enough = max(least, int(np.ceil(share * counts.sum())))
+    enough = max(least, int(np.ceil(max(share, needed_share(x, books, top)) * counts.sum())))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = counts.reshape(len(books[0]), len(books[1]))
