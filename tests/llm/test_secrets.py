@@ -35,3 +35,12 @@ def test_odd_rows(spark):
     assert sorted(((r.doc_id, r.pos) for r in got), key=repr) == sorted([(None, 0), (3, 0), (3, 1), (3, 0), (3, 1), (4, 0)], key=repr)
     assert all(r.is_secret for r in got if r.doc_id in (None, 4))
     assert secrets.scan(docs.drop("source").limit(0), forest).collect() == []
+
+
+def test_long_candidates_are_whole(spark):
+    run = "aB3dE5gH7k" * 40
+    jwt = "eyJ" + "a1B2c3D4" * 20 + "." + "e5F6g7H8" * 20 + "." + "i9J0k1L2" * 20
+    late = "abcdefghij" * 9 + "12345"  # its first digit stands after 90 letters
+    rows = [(1, f"key {run} end"), (2, f"token={run} end"), (3, f"token={jwt} end"), (4, f"see {late} end"), (5, "xoxb-" + "a1b2c3d4e5" * 10)]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.value for r in found} == {1: run, 2: run, 3: jwt, 4: late, 5: rows[4][1]}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # Names that secrets are assigned to, forms of issued keys, and words that speak for or against a secret.
 ASSIGNED = "token secret password passwd pwd apikey api_key api-key access_key access-key auth_token client_secret private_key credential".split()
-ISSUED = [r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[abprs]-[A-Za-z0-9-]{10,72}", r"sk_live_[A-Za-z0-9]{16,64}", r"AIza[0-9A-Za-z_-]{35}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"]
+ISSUED = [r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"sk_live_[A-Za-z0-9]{16,}", r"AIza[0-9A-Za-z_-]{35}", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"]
 FOR_WORDS = "token secret password passwd pwd apikey key auth bearer credential login".split()
 AGAINST_WORDS = "example sample placeholder dummy test fixture hash sha1 sha256 md5 checksum digest commit revision uuid guid id etag".split()
 DICTIONARY = "the and for with that this from your here change changeme password secret token key example sample test dummy placeholder default value none null true false user admin root guest name insert replace redacted hidden string foo bar baz qwerty letmein welcome hello world access private public client server index image asset version build release".split()
@@ -23,7 +23,7 @@ PATHS = "test tests example examples fixture fixtures doc docs sample samples mo
 
 _NAMED = rf"(?i:{'|'.join(ASSIGNED)})[\"']?\s?(?::|=)\s?[\"']?"
 #: A candidate: an issued key, a long run, or a value assigned to a secret's name. The name is part of the match.
-PATTERN = rf"(?:(?<![A-Za-z0-9]){_NAMED}[^\s\"'<>]{{6,256}}|{'|'.join(rf'(?<![A-Za-z0-9]){p}' for p in ISSUED)}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{{0,64}}[0-9])(?=[0-9+/_-]{{0,64}}[A-Za-z])[A-Za-z0-9+/_-]{{20,256}}={{0,2}}(?![A-Za-z0-9+/_-]))"
+PATTERN = rf"(?:(?<![A-Za-z0-9]){_NAMED}[^\s\"'<>]{{6,}}+|{'|'.join(rf'(?<![A-Za-z0-9]){p}' for p in ISSUED)}|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{{20,}}+={{0,2}}(?![A-Za-z0-9+/_-]))"
 #: Characters of context that are looked at on either side.
 CONTEXT = 48
 
