@@ -5,8 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from veldra.functions import text as tx
 from veldra.plans.catalogue import ORACLE_SQL, QUERIES
 
 
@@ -42,3 +44,13 @@ def test_gives_rows(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["qid", "rank", "idx"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_judgement_reads_whole_texts(spark, sf_dir):
+    got = {r.id: r for r in QUERIES["answer_judgement"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id").collect()
+    assert any(len(d.text) > 600 and d.text.count("\n") > 2 for d in docs)
+    assert all(got[d.doc_id].n_facts_total == d.text.count("\n") + 1 for d in docs)
+    lines = spark.createDataFrame([(d.doc_id, x) for d in docs for x in d.text.split("\n")], "id long, line string")
+    spoken = lines.where(F.size(tx.content_words(F.col("line"))) > 0).groupBy("id").count().collect()
+    assert spoken and all(got[r.id].n_facts_passed >= r["count"] for r in spoken)

@@ -307,12 +307,12 @@ def percent_sample(spark, d):
 
 
 def answer_judgement(spark, d):
-    """Each labelled document judged against its first lines as facts, by the offline judge."""
+    """Each labelled document's whole text judged against all its lines as facts, by the offline judge."""
     from veldra.sources.providers import offline_judge
 
     docs = _documents(spark, d).join(_read(spark, d, "labels").select("doc_id"), "doc_id")
-    facts = F.slice(F.split("text", "\n"), 1, 3)
-    answers = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("tier"), F.substring("text", 1, 600).alias("answer_generated"), facts.alias("facts"))
+    facts = F.split("text", "\n")
+    answers = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("tier"), F.col("text").alias("answer_generated"), facts.alias("facts"))
     return evaluation.judge(answers, offline_judge).select("id", "tier", "n_facts_total", "n_facts_passed", "passed")
 
 
