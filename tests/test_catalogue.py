@@ -54,3 +54,13 @@ def test_judgement_reads_whole_texts(spark, sf_dir):
     lines = spark.createDataFrame([(d.doc_id, x) for d in docs for x in d.text.split("\n")], "id long, line string")
     spoken = lines.where(F.size(tx.content_words(F.col("line"))) > 0).groupBy("id").count().collect()
     assert spoken and all(got[r.id].n_facts_passed >= r["count"] for r in spoken)
+
+
+def test_classifier_bench_searches_the_grids(spark, sf_dir, monkeypatch):
+    from veldra.operators import models
+
+    asked = []
+    monkeypatch.setattr(models, "bench", lambda rows, names, kinds=None: asked.append((names, kinds or models.GRIDS)) or [])
+    QUERIES["classifier_bench"](spark, sf_dir)
+    size = len(spark.read.parquet(f"{sf_dir}/embeddings.parquet").first().embedding)
+    assert asked == [([*(f"v{i}" for i in range(size)), "n_chars"], models.GRIDS)]

@@ -349,10 +349,10 @@ def classifier_bench(spark, d):
     """Model selection over features of labelled documents' chunks; a row for each kind of model."""
     chunks = _chunks(spark, d)
     made = chunks.join(_read(spark, d, "labels"), F.col("idx") == F.col("doc_id"))
-    names = [f"v{i}" for i in range(6)] + ["n_chars"]
-    rows = made.select(F.col("idx").alias("id"), F.col("quality").cast("int").alias("label"), *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(6)], F.length("text").cast("double").alias("n_chars"))
-    small = {"dummy_majority": [{}], "decision_tree": [{"depth": 3, "leaf": 4, "weight": "balanced"}], "logreg_l2": [{"c": 1.0, "weight": "balanced"}], "logreg_l1": [{"c": 1.0, "weight": None}]}
-    found = models.bench(rows.cache(), names, small)
+    size = made.select(F.max(F.size("vector"))).first()[0] or 0
+    names = [*(f"v{i}" for i in range(size)), "n_chars"]
+    rows = made.select(F.col("idx").alias("id"), F.col("quality").cast("int").alias("label"), *[F.col("vector")[i].cast("double").alias(f"v{i}") for i in range(size)], F.length("text").cast("double").alias("n_chars"))
+    found = models.bench(rows.cache(), names)
     out = [(i, b.name, *(round(b.scores[k], R) for k in ("cv_mean_accuracy", "cv_mean_balanced_accuracy", "cv_mean_f1")), b.importances[0][0]) for i, b in enumerate(found)]
     return spark.createDataFrame(out, "place int, model string, accuracy double, balanced_accuracy double, f1 double, first_feature string")
 
