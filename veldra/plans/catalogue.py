@@ -308,12 +308,14 @@ def percent_sample(spark, d):
 
 def answer_judgement(spark, d):
     """Each labelled document's whole text judged against all its lines as facts, by the offline judge."""
-    from veldra.sources.providers import offline_judge
+    from veldra.sources.providers import offline_judge_of
 
     docs = _documents(spark, d).join(_read(spark, d, "labels").select("doc_id"), "doc_id")
     facts = F.split("text", "\n")
     answers = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("tier"), F.col("text").alias("answer_generated"), facts.alias("facts"))
-    return evaluation.judge(answers, offline_judge).select("id", "tier", "n_facts_total", "n_facts_passed", "passed")
+    # Dealing rows out keeps a text's words from being taken again for each fact.
+    read = answers.withColumns({"words": tx.content_words(F.col("answer_generated")), "numbers": tx.numeric_tokens(F.col("answer_generated"))}).repartition("id")
+    return evaluation.judge(read, lambda fact, _: offline_judge_of(fact, F.col("words"), F.col("numbers"))).select("id", "tier", "n_facts_total", "n_facts_passed", "passed")
 
 
 def source_previews(spark, d):
