@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,37 +18,87 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_own_dir: list[str] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors see.
 
-    Where the session names none (tests in local mode), a temporary folder is made once.
+    Where the session names none, the warehouse stands in, which a cluster shares as well; a warehouse on a
+    local disk will do only while the executors are threads of this process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="veldra-"))
-    return _own_dir[0]
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+    if not local and (own.startswith(("/", "file:")) or ":" not in own):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    return own
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends, or with :func:`clear`."""
+    path = f"{shared_dir(spark)}/veldra/{spark.sparkContext.applicationId}"
+    if path not in _cleared_at_exit:
+        _cleared_at_exit.add(path)
+        atexit.register(_delete_quietly, spark, path)
+    return path
+
+
+_cleared_at_exit: set[str] = set()
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session, its JVM or the store may be gone by then
+        delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this application's operators have written; results computed from them go too."""
+    delete(spark, own_dir(spark))
+
+
+@contextlib.contextmanager
+def tables() -> Iterator[None]:
+    """Tables written by :func:`materialize` within the block are deleted at its end; nests."""
+    made: list[DataFrame] = []
+    _owners.append(made)
+    try:
+        yield
+    finally:
+        _owners.pop()
+        for df in made:
+            release(df)
+
+
+_owners: list[list[DataFrame]] = []
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/veldra/{tag}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read of that table and no recomputation.
+    This cuts the lineage: a lost executor costs a re-read of that table and no recomputation. The table
+    belongs to the innermost :func:`tables` block, else to the application.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veldra_path = path
+    if _owners:
+        _owners[-1].append(out)
+    return out
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """:func:`materialize` for a table that outlives the :func:`tables` block it is made in."""
+    out = materialize(df, tag)
+    if _owners:
+        _owners[-1].remove(out)
     return out
 
 

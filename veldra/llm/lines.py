@@ -2,68 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import ASCII_SPACE, ascii_lower, materialize, row_key
+from veldra.llm.common import ASCII_SPACE, ascii_lower, kept, materialize, row_key, tables
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows of ``(doc_id, k1, k2, pos, h1, h2)`` for the lines that are long enough to count."""
-    key = F.btrim(F.col("line"), F.lit(ASCII_SPACE))
-    text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", *row_key(F.col("doc_id"), text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    low = lines.select("doc_id", "__v_k1", "__v_k2", "pos", ascii_lower(key).alias("key"))
-    return low.where(F.length("key") >= MIN_CHARS).select(
-        "doc_id", "__v_k1", "__v_k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")
-    )
+def _text(docs: DataFrame) -> Column:
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
+
 
+def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(doc_id, __v_k1, __v_k2, pos, h1, h2)`` for the lines long enough to count: the row's key, the line's place and hash."""
+    text = _text(docs)
+    each = docs.where(F.length(text) >= min_chars).select("doc_id", *row_key(F.col("doc_id"), text), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    long = each.where(F.length("line") >= min_chars)
+    low = long.select("doc_id", "__v_k1", "__v_k2", "pos", ascii_lower(F.btrim(F.col("line"), F.lit(ASCII_SPACE))).alias("key"))
+    return low.where(F.length("key") >= min_chars).select("doc_id", "__v_k1", "__v_k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
-def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(h1, h2, keep)``: keys found in at least ``min_docs`` distinct documents and the largest holder.
 
-    The two-step count (first per key and document, then per key) combines before each shuffle,
-    so a line that a third of all documents hold sends a row per map task in the second step.
+def repeated_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of ``lines`` (:func:`keyed_lines`) whose hash stands in at least ``min_docs`` lines, as a table.
+
+    Counting combines before its shuffle, so a line that a third of all documents hold sends a row for each
+    map task. Both sides of the join come from files: the lines of a hot hash are split over tasks.
     """
-    once = _keyed(docs).groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        once.groupBy("h1", "h2")
-        .agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keep"))
-        .where(F.col("docs") >= min_docs)
-        .select("h1", "h2", "keep")
-    )
+    often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    return materialize(lines.join(materialize(often.select("h1", "h2"), "line-hashes"), ["h1", "h2"]), "repeated-lines")
+
+
+def common_lines(repeated: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``(h1, h2, keep)``: hashes that at least ``min_docs`` distinct documents hold, and the largest holder."""
+    once = repeated.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = once.groupBy("h1", "h2").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("keep"))
+    return docs.where(F.col("docs") >= min_docs).select("h1", "h2", "keep")
+
 
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(__v_k1, __v_k2, __v_gone)``: for each row that loses lines their positions, ascending, as a table.
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    Texts are read once; what travels after that are hashes and positions.
+    """
+    with tables():
+        lines = materialize(keyed_lines(docs, min_chars), "lines")
+        repeated = repeated_lines(lines, min_docs)
+        common = materialize(common_lines(repeated, min_docs), "common-lines")
+        hit = repeated.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
+        # Rows that are equal share a key, hence the set.
+        return kept(hit.groupBy("__v_k1", "__v_k2").agg(F.sort_array(F.collect_set("pos")).alias("__v_gone")), "dropped-lines")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its shared lines, plus ``n_lines`` and ``n_dropped``.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased. Keys of at least
-    20 code points in at least ``min_docs`` distinct ``doc_id`` lose all their lines but those of the
-    largest ``doc_id`` holding them; that document keeps each of its copies.
+    ``min_chars`` code points in at least ``min_docs`` distinct ``doc_id`` lose all their lines but those of
+    the largest ``doc_id`` holding them; that document keeps each of its copies.
 
-    Null or empty text is one empty line, which stays. Rows with a null ``doc_id`` count as no
-    document but lose shared lines; repeated rows count once and are treated alike. Very long texts
-    are one row each; only positions of dropped lines travel between rows. All other columns pass
-    through, and extra columns named like the two counters are replaced.
+    Null or empty text is one empty line, which stays; texts shorter than ``min_chars`` take no part in any
+    shuffle. Rows with a null ``doc_id`` count as no document but lose shared lines; repeated rows count once
+    and are treated alike. A very long text is one row; only positions of its dropped lines travel between
+    rows. Other columns pass through, and extra columns named like the two counters are replaced. An empty
+    table gives no rows.
     """
-    bad = materialize(common_lines(docs, min_docs), "lines")
-    lines = _keyed(docs)
-    hit = lines.join(bad, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    # Positions of one document's lines: identical rows share a key, hence the set.
-    gone = hit.groupBy("__v_k1", "__v_k2").agg(F.collect_set("pos").alias("__v_gone"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"__v_k1": row_key(F.col("doc_id"), text)[0], "__v_k2": row_key(F.col("doc_id"), text)[1]})
-    split = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__v_lines") - 1), F.coalesce("__v_gone", F.array().cast("array<int>")))
-    out = keyed.join(gone, ["__v_k1", "__v_k2"], "left").withColumn("__v_lines", split).withColumn("__v_kept", kept)
-    return out.withColumns(
+    rows = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_dropped")])
+    text = _text(rows)
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    out = [*[c for c in rows.columns if c != "text"], "text", "n_lines", "n_dropped"]
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.withColumns({"text": text, "n_lines": n_lines.cast("long"), "n_dropped": F.lit(0).cast("long")}).select(*out)
+
+    short, long = rows.where(F.length(text) < min_chars), rows.where(F.length(text) >= min_chars)
+    k1, k2 = row_key(F.col("doc_id"), text)
+    joined = long.withColumns({"__v_k1": k1, "__v_k2": k2}).join(dropped_lines(docs, min_docs, min_chars), ["__v_k1", "__v_k2"], "left")
+    # The split text is a column of its own: read twice below, it is made once a row.
+    joined = joined.withColumn("__v_parts", F.when(F.col("__v_gone").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__v_parts") - 1), "__v_gone")
+    less = F.array_join(F.transform(stay, lambda i: F.element_at("__v_parts", i + 1)), "\n")
+    loses = F.col("__v_gone").isNotNull()
+    cut = joined.withColumns(
         {
-            "text": F.when(F.col("__v_gone").isNull(), text).otherwise(
-                F.array_join(F.transform("__v_kept", lambda i: F.element_at("__v_lines", i + 1)), "\n")
-            ),
-            "n_lines": F.size("__v_lines").cast("long"),
-            "n_dropped": (F.size("__v_lines") - F.size("__v_kept")).cast("long"),
+            "text": F.when(loses, less).otherwise(F.col("text").cast("string")),
+            "n_lines": n_lines.cast("long"),
+            "n_dropped": F.when(loses, F.size("__v_gone")).otherwise(0).cast("long"),
         }
-    ).drop("__v_k1", "__v_k2", "__v_gone", "__v_lines", "__v_kept")
+    )
+    return whole(short).union(cut.select(*out)).select(*[c for c in docs.columns if c in rows.columns], "n_lines", "n_dropped")
