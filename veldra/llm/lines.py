@@ -61,33 +61,24 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     ``min_chars`` code points in at least ``min_docs`` distinct ``doc_id`` lose all their lines but those of
     the largest ``doc_id`` holding them; that document keeps each of its copies.
 
-    Null or empty text is one empty line, which stays; texts shorter than ``min_chars`` take no part in any
-    shuffle. Rows with a null ``doc_id`` count as no document but lose shared lines; repeated rows count once
+    Null or empty text is one empty line, which stays. Rows with a null ``doc_id`` count as no document but lose shared lines; repeated rows count once
     and are treated alike. A very long text is one row; only positions of its dropped lines travel between
     rows. Other columns pass through, and extra columns named like the two counters are replaced. An empty
     table gives no rows.
     """
     rows = docs.drop(*[c for c in docs.columns if c in ("n_lines", "n_dropped")])
     text = _text(rows)
-    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    out = [*[c for c in rows.columns if c != "text"], "text", "n_lines", "n_dropped"]
-
-    def whole(df: DataFrame) -> DataFrame:
-        return df.withColumns({"text": text, "n_lines": n_lines.cast("long"), "n_dropped": F.lit(0).cast("long")}).select(*out)
-
-    short, long = rows.where(F.length(text) < min_chars), rows.where(F.length(text) >= min_chars)
     k1, k2 = row_key(F.col("doc_id"), text)
-    joined = long.withColumns({"__v_k1": k1, "__v_k2": k2}).join(dropped_lines(docs, min_docs, min_chars), ["__v_k1", "__v_k2"], "left")
+    gone = dropped_lines(docs, min_docs, min_chars)
+    # Positions are hashed and texts stream past them: no sort holds texts.
+    joined = rows.withColumns({"text": text, "__v_k1": k1, "__v_k2": k2}).join(gone.hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left")
     # The split text is a column of its own: read twice below, it is made once a row.
-    joined = joined.withColumn("__v_parts", F.when(F.col("__v_gone").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    loses = F.col("__v_gone").isNotNull()
+    joined = joined.withColumn("__v_parts", F.when(loses, F.split("text", "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__v_parts") - 1), "__v_gone")
     less = F.array_join(F.transform(stay, lambda i: F.element_at("__v_parts", i + 1)), "\n")
-    loses = F.col("__v_gone").isNotNull()
-    cut = joined.withColumns(
-        {
-            "text": F.when(loses, less).otherwise(F.col("text").cast("string")),
-            "n_lines": n_lines.cast("long"),
-            "n_dropped": F.when(loses, F.size("__v_gone")).otherwise(0).cast("long"),
-        }
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    out = joined.withColumns(
+        {"n_lines": n_lines.cast("long"), "n_dropped": F.when(loses, F.size("__v_gone")).otherwise(0).cast("long"), "text": F.when(loses, less).otherwise(F.col("text"))}
     )
-    return whole(short).union(cut.select(*out)).select(*[c for c in docs.columns if c in rows.columns], "n_lines", "n_dropped")
+    return out.select(*rows.columns, "n_lines", "n_dropped")
