@@ -45,6 +45,44 @@ def test_pruned_search_is_exact():
         assert np.allclose([-s for s, _ in want], scores)
 
 
+def test_lists_behind_the_pivot_are_not_read():
+    # Forty rare words that near copies share and sixty that every second document holds.
+    rng = np.random.default_rng(11)
+    rare = [(1000 + t, d) for t in range(40) for d in [*range(12), *rng.integers(0, 6000, 5)]]
+    common = [(t, d) for t in range(60) for d in np.flatnonzero(rng.random(6000) < 0.5)]
+    term, doc = np.unique(np.array(rare + common), axis=0).T
+    gain = rng.random(len(term)) + 0.5
+    shard = search.Shard(term, doc, gain)
+    asked = np.unique(term)
+    weights = np.where(asked >= 1000, 9.0, 0.1)
+    ids, scores = shard.search(asked, weights, None, 10)
+    total = np.bincount(doc, weights=gain * weights[np.searchsorted(asked, term)])
+    want = np.lexsort((np.arange(len(total)), -np.round(total, search.DIGITS)))[:10]
+    assert ids.tolist() == want.tolist() and np.allclose(scores, total[want])
+    assert shard.read + shard.probed < 0.1 * shard.asked
+
+
+def test_blocks_end_the_search_of_found_documents():
+    # A found document stays only if the rest's maxima in its own run of documents suffice.
+    n = 64 * search.RUN
+    doc = np.concatenate([np.arange(n), np.arange(n), np.arange(n)])
+    term = np.repeat([0, 1, 2], n)
+    gain = np.concatenate([np.where(np.arange(n) < 20, 10.0, 9.0), np.where(np.arange(n) < search.RUN, 3.0, 0.5), np.full(n, 0.1)])
+    shard = search.Shard(term, doc, gain)
+    ids, scores = shard.search(np.arange(3), np.ones(3), None, 10)
+    assert ids.tolist() == list(range(10)) and np.allclose(scores, 13.1)
+    assert shard.probed <= 3 * search.RUN
+
+
+def test_queries_have_all_terms(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(100, " ".join(words)), *((i + 1, f"{w} other{i}") for i, w in enumerate(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = search.document_frequencies(docs)
+    assert search.queries_of(docs, df, len(rows), 100, None)[0].count() == 60
+    assert search.queries_of(docs, df, len(rows), 100, 25)[0].count() == 25
+
+
 def test_odd_rows(spark):
     rows = [(0, "Rare words here"), (1, "rare WORDS here too"), (2, None), (3, ""), (None, "rare words"), (4, "rare " * 30000), (5, "rare words"), (5, "rare words"), (100, None), (200, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS term", "2 AS df")

@@ -1,10 +1,11 @@
 """Exact top-k BM25 search: block-max WAND over sharded inverted indexes.
 
 Documents are dealt to shards by hash. A shard's index holds, for each term, postings in document order
-cut into blocks that cover fixed runs of documents, and each block's largest contribution. A query adds
-the block maxima of its terms over each run (the weak-AND test): runs whose sum cannot reach the k-th
-best score so far are skipped unread. Document counts, lengths and frequencies are those of all
-documents, so scores compare across shards and the merge of the shards' results is exact.
+with the largest contribution of the whole list and of each block, a fixed run of documents. A query takes
+its lists by falling maximum until the maxima of the rest cannot reach the k-th best sum so far (the weak-AND
+pivot): documents that only the rest holds are never looked at, and of the others only those whose sum and
+the rest's block maxima reach the k-th best are scored. Document counts, lengths and frequencies are those
+of all documents, so scores compare across shards and the merge of the shards' results is exact.
 
 Terms are named by a 64-bit hash that is checked to tell every query term from every other word of the
 corpus. Postings of words that no query asks for are filtered out where documents are read, and a
@@ -22,17 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import WORD_PATTERN, ascii_lower, materialize
+from veldra.llm.common import WORD_PATTERN, ascii_lower, kept, materialize, tables
 
 K1, B, TOP = 1.2, 0.75, 10
-#: A query is its document's terms of largest tf-idf weight, so many of them, among terms of two documents or more.
-TERMS, MIN_DF = 25, 2
+#: Query terms stand in so many documents at least: what stands in one finds nothing else.
+MIN_DF = 2
 #: Documents of a shard, documents of a run (block), queries of a block.
-SHARD, RUN, QUERIES = 8192, 64, 65_536
+SHARD, RUN, QUERIES = 16_384, 64, 65_536
 #: Bits of the filter over query terms that postings pass before they are sent to shards; a fixed 4 MB.
 FILTER_BITS = 1 << 25
 #: Scores are rounded to so many digits before they are compared, so that ties go by id alone.
 DIGITS = 6
+#: Sums of floats in another order differ by less than this; bounds give way by as much.
+SLACK = 1e-5
 
 
 def _terms(text: bytes) -> list[bytes]:
@@ -106,89 +109,130 @@ class Shard:
     """The inverted index of one shard: postings by term in document order, block maxima by run of documents."""
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, gain: np.ndarray) -> None:
-        """``gain`` is what a posting adds to a score for a query weight of 1."""
+        """``gain`` is what a posting adds to a score for a query weight of 1, above 0."""
         self.docs = np.unique(doc)
-        local = np.searchsorted(self.docs, doc)
+        local = np.searchsorted(self.docs, doc).astype(np.int32)
         order = np.lexsort((local, term))
         term, local, gain = term[order], local[order], gain[order]
         if len(term):  # rows that repeat an id are one document
             one = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (local[1:] != local[:-1])))
             term, local, gain = term[one], local[one], np.add.reduceat(gain, one)
-        self.local, self.gain, run = local, gain, local // RUN
-        new = np.append(True, (term[1:] != term[:-1]) | (run[1:] != run[:-1])) if len(term) else np.zeros(0, bool)
-        self.start = np.flatnonzero(new)
-        self.stop = np.append(self.start[1:], len(term))
-        self.peak = np.maximum.reduceat(self.gain, self.start) if len(self.start) else np.zeros(0)
-        self.run = run[self.start]
-        names, first = np.unique(term[self.start], return_index=True)
-        last = np.append(first[1:], len(self.start))
-        self.blocks = {int(t): (int(a), int(b)) for t, a, b in zip(names, first, last, strict=True)}
+        self.names, self.start = np.unique(term, return_index=True)
+        self.stop = np.append(self.start[1:], len(term)).astype(np.int64)
+        self.local, self.gain = local, gain
+        self.top = np.maximum.reduceat(gain, self.start) if len(term) else np.zeros(0)
+        self.runs = -(-len(self.docs) // RUN)
+        # Lists with more blocks than a quarter of the runs keep their maxima run by run.
+        self.row = np.full(len(self.names), -1)
+        long = np.flatnonzero(self.stop - self.start >= max(RUN // 8, self.runs // 4))
+        self.row[long] = np.arange(len(long))
+        self.peak = np.zeros((len(long), self.runs))
+        for r, t in enumerate(long):
+            a, b = self.start[t], self.stop[t]
+            run = local[a:b] // RUN
+            edge = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            self.peak[r, run[edge]] = np.maximum.reduceat(gain[a:b], edge)
+        # The same postings by document, for the few documents that are scored one by one.
+        back = np.argsort(local, kind="stable")
+        self.by_doc, self.by_doc_gain = np.repeat(np.arange(len(self.names), dtype=np.int32), self.stop - self.start)[back], gain[back]
+        self.doc_start = np.searchsorted(local[back], np.arange(len(self.docs) + 1))
+        self.weight, self.sums = np.zeros(len(self.names)), np.zeros(len(self.docs))
+        #: Postings of the lists that were asked for, those read list by list, and those read by document.
+        self.asked = self.read = self.probed = 0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, skip: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best documents but ``skip``, best first, ties to the smaller id, with rounded scores."""
-        lists = [(self.blocks[t], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True) if t in self.blocks]
-        if not lists:
+        """The ``k`` best documents but ``skip``, best first, ties to the smaller id, with rounded scores.
+
+        Lists are taken by falling maximum. Once the maxima of those that follow stay below the k-th best sum
+        (the pivot), a document that only they hold cannot enter; one found before is followed up only if its
+        sum and the block maxima of its run can reach the k-th best.
+        """
+        at = np.searchsorted(self.names, terms)
+        here = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == terms) if len(self.names) else np.zeros(len(terms), bool)
+        at, weights = at[here], weights[here]
+        if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
-        block = np.concatenate([np.arange(a, b) for (a, b), _ in lists])
-        weight = np.concatenate([np.full(b - a, w) for (a, b), w in lists])
-        runs, where = np.unique(self.run[block], return_inverse=True)
-        bound = np.bincount(where, weights=self.peak[block] * weight)
-        by_run = np.argsort(where, kind="stable")
-        edges = np.append(0, np.cumsum(np.bincount(where)))
-        ids, scores, bar = np.zeros(0, np.int64), np.zeros(0), -np.inf
-        # The run with the highest bound goes first to set the bar; the others follow in order of documents.
-        rest, width = np.arange(len(runs)), 1
-        turn = np.array([bound.argmax()])
-        while len(turn):
-            rest = np.setdiff1d(rest, turn, assume_unique=True)
-            chosen = by_run[np.concatenate([np.arange(edges[r], edges[r + 1]) for r in turn])]
-            a, b = self.start[block[chosen]], self.stop[block[chosen]]
-            size = b - a
-            posting = np.repeat(a, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            found, place = np.unique(self.local[posting], return_inverse=True)
-            total = np.round(np.bincount(place, weights=self.gain[posting] * np.repeat(weight[chosen], size)), DIGITS)
-            ids = np.concatenate([ids, self.docs[found]])
-            scores = np.concatenate([scores, total])
-            if skip is not None:
-                ids, scores = ids[ids != skip], scores[ids != skip]
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                bar = scores[-1]
-            rest = rest[bound[rest] >= bar - 1e-5]  # what can still tie with the k-th best
-            width = min(width * 4, 1024)
-            turn = rest[:width]
-        return ids, scores
-
-
-def queries_of(docs: DataFrame, df: DataFrame, n_docs: int, every: int, terms: int) -> tuple[DataFrame, int]:
-    """``(query_id, tid, weight)``: the terms of largest tf-idf of each document whose id divides by ``every``.
+        most = self.top[at] * weights
+        order = np.argsort(-most, kind="stable")
+        at, weights, most = at[order], weights[order], most[order]
+        rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        first, last, local, gain = self.start[at].tolist(), self.stop[at].tolist(), self.local, self.gain
+        self.asked += sum(last) - sum(first)
+        sums, bar, own = self.sums, -np.inf, None
+        sums[:] = 0.0
+        if skip is not None and (i := int(np.searchsorted(self.docs, skip))) < len(self.docs) and self.docs[i] == skip:
+            own = i
+            sums[own] = -np.inf
+        # The k-th best sum so far is looked up where the rest's maxima have fallen by a half, and again.
+        looks = set(np.searchsorted(-rest, -rest[0] / 2.0 ** np.arange(1, 7)).tolist())
+        done = len(at)
+        for i in range(len(at)):
+            if i in looks and len(self.docs) > k:
+                bar = float(np.partition(sums, -k)[-k]) - SLACK
+            if rest[i] < bar:
+                done = i
+                break
+            a, b = first[i], last[i]
+            sums[local[a:b]] += gain[a:b] * weights[i]
+            self.read += b - a
+        if done == len(at):
+            found = np.flatnonzero(sums > 0)
+            if len(found) > 4 * k:
+                found = found[sums[found] >= np.partition(sums[found], -k)[-k] - SLACK]
+            return self._best(found, sums[found], k)
+        found = np.flatnonzero(sums + rest[done] >= bar)
+        row = self.row[at[done:]]
+        kept = weights[done:][row >= 0] @ self.peak[row[row >= 0]] + most[done:][row < 0].sum()
+        found = found[sums[found] + kept[found // RUN] >= bar]
+        return self._best(found, self._whole(found, at, weights), k)
+
+    def _whole(self, found: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of a few documents from all their postings."""
+        size = self.doc_start[found + 1] - self.doc_start[found]
+        posting = np.repeat(self.doc_start[found] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self.probed += len(posting)
+        self.weight[at] = weights
+        total = np.bincount(np.repeat(np.arange(len(found)), size), weights=self.weight[self.by_doc[posting]] * self.by_doc_gain[posting], minlength=len(found))
+        self.weight[at] = 0.0
+        return total
+
+    def _best(self, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, score = self.docs[found], np.round(score, DIGITS)
+        best = np.lexsort((ids, -score))[:k]
+        return ids[best], score[best]
+
+
+def queries_of(docs: DataFrame, df: DataFrame, n_docs: int, every: int, terms: int | None) -> tuple[DataFrame, int]:
+    """``(query_id, tid, weight)``: the terms of each document whose id divides by ``every``, with their idf.
 
     Also the seed of the ids. Queried words meet the vocabulary by id; should two words share one, the ids
-    are drawn again with another seed, so an id names one word.
+    are drawn again with another seed, so an id names one word. ``terms`` keeps that many terms of largest
+    tf-idf; by default a query has all.
     """
-    asked = term_counts(docs.where(F.col("doc_id") % every == 0).dropDuplicates(["doc_id"]))
+    asked = materialize(term_counts(docs.where(F.col("doc_id") % every == 0).dropDuplicates(["doc_id"])), "asked-terms")
     for draw in range(16):
         named = lambda t: F.xxhash64(F.lit(draw), t)  # noqa: B023, E731
         known = df.select(F.col("term").alias("word"), "df", named(F.col("term")).alias("tid"))
-        met = materialize(asked.withColumn("tid", named(F.col("term"))).join(known, "tid"), "asked")
-        if not met.where("term <> word").head():
+        words = materialize(asked.select("term").distinct().withColumn("tid", named(F.col("term"))).join(known, "tid"), "asked")
+        if not words.where("term <> word").head():
             break
     else:
         raise ValueError("no seed tells the words apart")
     seed = docs.sparkSession.range(1).select(F.xxhash64(F.lit(draw)).alias("h")).first().h % (1 << 64)
-    weighed = met.where(F.col("df") >= MIN_DF).withColumn("weight", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    order = Window.partitionBy("doc_id").orderBy(F.round(F.col("tf") * F.col("weight"), 9).desc(), "term")
-    top = weighed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= terms)
-    return top.select(F.col("doc_id").alias("query_id"), "tid", "weight"), seed
+    weight = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(words.where(F.col("df") >= MIN_DF).select("term", "tid", weight.alias("weight")), "term")
+    if terms is not None:
+        order = Window.partitionBy("doc_id").orderBy(F.round(F.col("tf") * F.col("weight"), 9).desc(), "term")
+        weighed = weighed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= terms)
+    return weighed.select(F.col("doc_id").alias("query_id"), "tid", "weight"), seed
 
 
-def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int = TERMS) -> DataFrame:
+def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int | None = None) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the ``top`` other documents by BM25 for each queried document.
 
-    Queries are the rows of ``docs(doc_id, text)`` whose id divides by ``every``; a query's terms are the
-    ``terms`` words of largest tf-idf of its whole text among words that another document may hold too.
-    Words are runs of anything but ASCII white space with A-Z lower-cased. Scores are
+    Queries are the rows of ``docs(doc_id, text)`` whose id divides by ``every``; a query's terms are all
+    distinct words of its whole text that stand in two documents or more (``terms`` keeps those of largest
+    tf-idf). Words are runs of anything but ASCII white space with A-Z lower-cased. Scores are
     ``sum idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))`` with
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``, rounded to 6 digits; ties go to the smaller ``doc_id``.
     Only documents that share a term are found.
@@ -198,22 +242,23 @@ def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int
     document with the sum of their scores; a query is one of them. An empty table gives no rows. Extra
     columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
-    df = materialize(document_frequencies(rows), "frequencies")
-    asked, seed = queries_of(rows, df, total.n, every, terms)
-    asked = materialize(asked, "queries")
+    with tables():
+        df = materialize(document_frequencies(rows), "frequencies")
+        asked, seed = queries_of(rows, df, total.n, every, terms)
+        bags = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "weight"))).alias("bag"))
+        bags = kept(bags.select("query_id", F.col("bag.tid").alias("tid"), F.col("bag.weight").alias("weight")), "queries")
+        wanted = term_filter(bags.select(F.explode("tid").alias("tid")))
     mean = max(float(total.words or 0), 1.0) / max(total.n, 1)
     shards = -(-total.n // SHARD) or 1
-    blocks = -(-asked.select("query_id").distinct().count() // QUERIES) or 1
+    blocks = -(-bags.count() // QUERIES) or 1
 
-    found = postings(rows.where("doc_id IS NOT NULL"), term_filter(asked), seed)
+    found = postings(rows.where("doc_id IS NOT NULL"), wanted, seed)
     each_block, each_shard = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     sent = found.select(each_block.alias("block"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "dl", "tids", "tfs")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    bags = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "weight"))).alias("bag"))
-    questions = bags.select(block.alias("block"), each_shard.alias("shard"), "query_id", F.col("bag.tid").alias("tid"), F.col("bag.weight").alias("weight"))
+    questions = bags.select(block.alias("block"), each_shard.alias("shard"), "query_id", "tid", "weight")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
