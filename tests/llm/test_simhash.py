@@ -62,6 +62,52 @@ def test_index_finds_every_link(spread):
     assert got == want and want
 
 
+def test_groups_are_dropped_whole():
+    # Far groups go by the differences that their upper nodes have added up, long before their leaves.
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[:500] ^ np.uint64(5)]))
+    index = simhash.GrayIndex(np.zeros(len(fps), np.int64), fps)
+    found = sum(len(a) for a, _ in index.links())
+    assert found >= 500 and len(index.levels) > 4
+    assert index.pruned > len(fps) and index.visited < 0.1 * len(fps) ** 2 / 2
+    # With a leading block that must agree, a search follows one path.
+    lead = simhash.GrayIndex(np.zeros(len(fps), np.int64), fps, ((1 << 21) - 1) << 43)
+    assert sum(len(a) for a, _ in lead.links()) == found  # the flipped bits stand behind the block
+    assert lead.visited < 60 * len(fps)
+
+
+@pytest.mark.parametrize("radius, split", [(0, 10**6), (1, 10**6), (2, 10**6), (2, 3), (3, 5)])
+def test_ranges_hold_every_link(spark, monkeypatch, radius, split):
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "RANGE", 64)
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 63, 1500, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1500, dtype=np.uint64)
+    for _ in range(3):  # chains of near copies with bits flipped anywhere
+        flips = np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64) | np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)
+        fps = np.concatenate([fps, fps[-200:] ^ flips])
+    fps = np.unique(np.concatenate([fps, np.uint64(0xABCDEF) << np.uint64(40) | rng.integers(0, 1 << 40, 60, dtype=np.uint64)]))
+    got = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), radius).collect()
+    label = {int(f): int(f) for f in fps.view(np.int64)}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for r in got:
+        label[root(r.a)] = root(r.b)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    classes = np.arange(len(fps))
+    while True:
+        least = np.where(near, classes[None, :], len(fps)).min(axis=1)
+        if (least == classes).all():
+            break
+        classes = least
+    names = [root(int(f)) for f in fps.view(np.int64)]
+    assert len(set(zip(names, classes.tolist(), strict=True))) == len(set(names)) == len(set(classes.tolist()))
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     from veldra.llm.queries import op2_simhash

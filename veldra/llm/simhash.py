@@ -5,11 +5,12 @@ the sorted list become nodes of a tree: a node keeps the bits on which all finge
 agree and which no ancestor keeps already (a mask and a pattern). A search walks the tree and adds up
 the differences on the way down; a whole group is dropped as soon as the sum exceeds the radius.
 
-Over many executors the top of the tree is laid out by the pigeonhole principle: two fingerprints
-within 2 bits agree on at least two of four 16-bit blocks, so each of the six pairs of blocks is a mask
-of the uppermost level, and the 32 bits under it are a group. Groups above ``SPLIT`` fingerprints get a
-second level of six masks over their other 32 bits; then at most 2^16 distinct fingerprints share a
-group, by construction.
+Over many executors the top of the tree is cut into ranges of Gray rank. Two fingerprints within ``r`` bits
+agree on one of ``r + 1`` blocks of bits, so there is an order for each block, with the fingerprints rotated
+until that block leads; fingerprints with equal blocks are neighbours there and a range holds them whole.
+Where a fingerprint's block differs from a node's, the node is dropped too: another order has that link.
+Fingerprints with one block that number above ``SPLIT`` are split by pairs of blocks of their other bits;
+then at most 2^22 distinct fingerprints are searched together, by construction.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import materialize, row_key
+from veldra.llm.common import bucket_count, materialize, row_key
 from veldra.llm.components import connected_components
 
 RADIUS, WIDTH, SEED = 2, 3, 42
-#: Above so many distinct fingerprints a group of the uppermost level is split.
+#: Above so many distinct fingerprints with one block, they are split by further bits.
 SPLIT = 16_384
+#: Fingerprints of a range of ranks, about.
+RANGE = 4096
 FANOUT = 8
 _CHUNK = 1 << 16
 
@@ -86,11 +89,14 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The tree over the fingerprints of many groups at once; ``groups`` numbers them 0, 1, ... in order."""
+    """The tree over the fingerprints of many groups at once; ``groups`` numbers them 0, 1, ... in order.
 
-    def __init__(self, groups: np.ndarray, fps: np.ndarray) -> None:
+    Only fingerprints that agree on the bits of ``fixed`` are linked.
+    """
+
+    def __init__(self, groups: np.ndarray, fps: np.ndarray, fixed: int = 0) -> None:
         order = np.lexsort((gray_rank(fps), groups))
-        self.groups, self.fps = groups[order], fps[order]
+        self.groups, self.fps, self.fixed = groups[order], fps[order], np.uint64(fixed)
         n_groups = int(self.groups[-1]) + 1 if len(fps) else 0
         level_group, low, high = self.groups, self.fps, self.fps
         ends = np.arange(1, len(fps) + 1)
@@ -107,6 +113,8 @@ class GrayIndex:
             levels.append((mask, low & mask, starts, stops, ends))
             level_group = level_group[starts]
         self.levels = levels[::-1]
+        #: Nodes that searches came to, and groups of two fingerprints or more that they dropped whole.
+        self.visited = self.pruned = 0
 
     def links(self, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs ``i < j`` of leaves of one group that differ in at most ``radius`` bits, block by block."""
@@ -116,9 +124,13 @@ class GrayIndex:
             total = np.zeros(len(leaf), dtype=np.int64)
             above = np.zeros(len(leaf), dtype=np.uint64)
             for mask, pattern, first, stop, ends in self.levels:
-                rest = mask[node] & ~above
-                total = total + np.bitwise_count((self.fps[leaf] ^ pattern[node]) & rest)
-                keep = (total <= radius) & (ends[node] > leaf + 1)
+                self.visited += len(node)
+                differ = (self.fps[leaf] ^ pattern[node]) & mask[node] & ~above
+                total = total + np.bitwise_count(differ)
+                near = (total <= radius) & (differ & self.fixed == 0)
+                if first is not None:
+                    self.pruned += int((~near).sum())
+                keep = near & (ends[node] > leaf + 1)
                 leaf, node, total = leaf[keep], node[keep], total[keep]
                 if first is None:
                     later = node > leaf
@@ -132,7 +144,7 @@ class GrayIndex:
                 node = children
 
     def stars(self, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """Links from each leaf to the first leaf of its class: a spanning forest of all links."""
+        """Links from each leaf to the first leaf of its class, by leaf: a spanning forest of all links."""
         label = np.arange(len(self.fps))
         for a, b in self.links(radius):
             while True:
@@ -146,69 +158,131 @@ class GrayIndex:
                 while (label[label] != label).any():
                     label = label[label]
         member = np.flatnonzero(label != np.arange(len(label)))
-        return self.fps[member], self.fps[label[member]]
-
-
-def _block(fp: Column, i: int, bits: int) -> Column:
-    return F.shiftright(fp, i * bits).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def _upper_level(fps: DataFrame) -> DataFrame:
-    """``(fp, gkey)`` six times: the mask's number above the 32 bits it selects."""
-    fp = F.col("fp")
-    keys = [F.lit(k << 32) + F.shiftleft(_block(fp, i, 16), 16) + _block(fp, j, 16) for k, (i, j) in enumerate(combinations(range(4), 2))]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("gkey"))
-
-
-def _second_level(grouped: DataFrame) -> DataFrame:
-    """``(fp, gkey, gkey2)``: six masks over the 32 bits that the first mask leaves open, for each row."""
-    fp, number = F.col("fp"), F.shiftright("gkey", 32)
-    open_bits = F.lit(None).cast("long")
-    for k, pair in enumerate(combinations(range(4), 2)):
-        i, j = (x for x in range(4) if x not in pair)
-        open_bits = F.when(number == k, F.shiftleft(_block(fp, i, 16), 16) + _block(fp, j, 16)).otherwise(open_bits)
-    keys = [F.lit((k + 1) << 16) + F.shiftleft(_block(F.col("o"), i, 8), 8) + _block(F.col("o"), j, 8) for k, (i, j) in enumerate(combinations(range(4), 2))]
-    return grouped.withColumn("o", open_bits).select("fp", "gkey", F.explode(F.array(*keys)).alias("gkey2"))
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within groups, for rows sorted by group; a group is held whole, and its size is bounded."""
-
-    def found(fps: np.ndarray, key: np.ndarray, key2: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.append(True, (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])) if len(key) else np.zeros(0, bool)
-        size = np.diff(np.append(np.flatnonzero(new), len(key)))
-        several = np.repeat(size > 1, size)
-        if several.any():
-            groups = np.cumsum(new[several]) - 1
-            a, b = GrayIndex(groups, fps[several].view(np.uint64)).stars()
-            for s in range(0, len(a), _CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + _CHUNK].view(np.int64)) for x in (a, b)], ["a", "b"])
-
-    held = [np.zeros(0, np.int64)] * 3
-    for batch in batches:
-        held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-        if len(held[0]) >= 2 * _CHUNK:
-            last = np.flatnonzero((held[1] != held[1][-1]) | (held[2] != held[2][-1]))
-            cut = last[-1] + 1 if len(last) else 0
-            yield from found(*(h[:cut] for h in held))
-            held = [h[cut:] for h in held]
-    yield from found(*held)
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` that span every class of the distinct fingerprints ``fps(fp)`` under 2 bits."""
-    rows = _upper_level(fps)
-    heavy = materialize(rows.groupBy("gkey").count().where(F.col("count") > SPLIT).select("gkey"), "heavy")
-    light = rows.join(heavy, "gkey", "left_anti").select("fp", "gkey", F.lit(0).cast("long").alias("gkey2"))
-    split = _second_level(rows.join(heavy, "gkey", "left_semi")) if heavy.head() else None
-    grouped = light.unionByName(split) if split is not None else light
-    return grouped.repartition("gkey", "gkey2").sortWithinPartitions("gkey", "gkey2").mapInArrow(_search, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+        return member, label[member]
+
+
+def block_bits(radius: int) -> int:
+    """Bits of each of ``radius + 1`` blocks, on one of which fingerprints within ``radius`` agree."""
+    if not 0 <= radius <= 7:
+        raise ValueError("blocks of fewer than 8 bits tell too little apart")
+    return 64 // (radius + 1)
+
+
+def _rotated(fps: np.ndarray, by: np.ndarray) -> np.ndarray:
+    up = by.astype(np.uint64)
+    return (fps << up) | (fps >> ((np.uint64(64) - up) & np.uint64(63)))
+
+
+def _orders(fps: DataFrame, radius: int) -> DataFrame:
+    """``(fp, turn, rank)`` once for each block: the rotation that makes it lead, and the Gray rank then."""
+    bits, fp = block_bits(radius), F.col("fp")
+
+    def rank(turn: int) -> Column:
+        out = F.shiftleft(fp, turn).bitwiseOR(F.shiftrightunsigned(fp, 64 - turn)) if turn else fp
+        for shift in (1, 2, 4, 8, 16, 32):
+            out = out.bitwiseXOR(F.shiftrightunsigned(out, shift))
+        return out
+
+    # Each step of the rank is a column of its own: written out in one, it would double with each.
+    each = fps.select("fp", F.explode(F.array(*[F.lit(k * bits) for k in range(radius + 1)])).alias("turn"))
+    turned = F.when(F.col("turn") == 0, fp).otherwise(F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)"))
+    return each.withColumn("rank", F.aggregate(F.array(*[F.lit(s) for s in (1, 2, 4, 8, 16, 32)]), turned, lambda a, s: a.bitwiseXOR(F.call_function("shiftrightunsigned", a, s))))
+
+
+def _open_masks(radius: int) -> list[int]:
+    """Masks of pairs of four blocks of the bits behind a rotated fingerprint's leading block."""
+    bits = 64 - block_bits(radius)
+    edges = [round(bits * i / 4) for i in range(5)]
+    parts = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(4)]
+    return [parts[i] | parts[j] for i, j in combinations(range(4), 2)]
+
+
+def _named(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for a, b in found:
+        for s in range(0, len(a), _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(x[s : s + _CHUNK].view(np.int64)) for x in (a, b)], ["a", "b"])
+
+
+def search_ranges(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links among rows ``(fp, turn, rank)`` sorted by turn and rank: a tree for each run of some 2^17 rows.
+
+    Runs end where the leading block changes, and rows of one block number :data:`SPLIT` at most.
+    """
+    bits = block_bits(radius)
+    fixed, shift = ((1 << bits) - 1) << (64 - bits), np.uint64(64 - bits)
+
+    def found(fps: np.ndarray, turn: np.ndarray, _: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        turns, groups = np.unique(turn, return_inverse=True)
+        index = GrayIndex(groups, _rotated(fps.view(np.uint64), turn), fixed)
+        back = np.uint64(64) - turns.astype(np.uint64)[index.groups]
+        a, b = index.stars(radius)
+        yield tuple(_rotated(index.fps[x], back[x] & np.uint64(63)) for x in (a, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+            if len(held[0]) >= 2 * _CHUNK:
+                lead = held[2].view(np.uint64) >> shift
+                last = np.flatnonzero((held[1] != held[1][-1]) | (lead != lead[-1]))
+                cut = last[-1] + 1 if len(last) else 0
+                yield from _named(found(*(h[:cut] for h in held)))
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield from _named(found(*held))
+
+    return run
+
+
+def search_groups(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links among rows ``(fp, g1, g2)`` sorted by group; a group is held whole, and its size is bounded."""
+
+    def found(fps: np.ndarray, g1: np.ndarray, g2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        new = np.append(True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) if len(g1) else np.zeros(0, bool)
+        index = GrayIndex(np.cumsum(new) - 1, fps.view(np.uint64))
+        a, b = index.stars(radius)
+        yield index.fps[a], index.fps[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if len(held[0]) >= 2 * _CHUNK:
+                last = np.flatnonzero((held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+                cut = last[-1] + 1 if len(last) else 0
+                yield from _named(found(*(h[:cut] for h in held)))
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield from _named(found(*held))
+
+    return run
+
+
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links ``(a, b)`` that span every class of the distinct fingerprints ``fps(fp)`` under ``radius`` bits."""
+    bits = block_bits(radius)
+    rows = _orders(fps, radius).withColumn("lead", F.shiftrightunsigned("rank", 64 - bits))
+    heavy = materialize(rows.groupBy("turn", "lead").count().where(F.col("count") > SPLIT).select("turn", "lead"), "heavy")
+    ranges = bucket_count((radius + 1) * fps.count(), RANGE, 1 << min(bits, 20))
+    part = F.shiftrightunsigned("lead", max(0, bits - ranges.bit_length() + 1))
+    light = rows.join(heavy, ["turn", "lead"], "left_anti").repartition("turn", part).sortWithinPartitions("turn", "rank")
+    out = light.select("fp", "turn", "rank").mapInArrow(search_ranges(radius), "a long, b long")
+    if heavy.head():
+        rest = F.expr("shiftleft(fp, turn) | shiftrightunsigned(fp, 64 - turn)")
+        turned = F.when(F.col("turn") == 0, F.col("fp")).otherwise(rest)
+        masks = [F.struct(F.lit(i).cast("long").alias("i"), turned.bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(_open_masks(radius))]
+        split = rows.join(heavy, ["turn", "lead"], "left_semi").select("fp", "turn", "lead", F.explode(F.array(*masks)).alias("m"))
+        # The mask's number and the block's place lead the group's first half, their bits follow.
+        g1 = F.shiftleft(F.col("m.i") * 64 + F.col("turn"), bits).bitwiseOR(F.col("lead"))
+        groups = split.select("fp", g1.alias("g1"), F.col("m.v").alias("g2")).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+        out = out.unionByName(groups.mapInArrow(search_groups(radius), "a long, b long"))
+    return out
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id, stays)`` and the row's key for each row of ``docs(doc_id, text)``.
 
-    Rows whose fingerprints differ in at most 2 bits are linked; ``component_id`` is the smallest
+    Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the smallest
     ``doc_id`` reachable. ``stays`` marks the component's representative: the row of that ``doc_id``
     (among several, the least row key; rows equal in both columns share the mark).
     Exact copies meet in one fingerprint before any search, so groups of copies cost one row.
@@ -217,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     row (then null). Repeated rows each get their row.
     """
     marked = materialize(fingerprints(docs, width), "fingerprints")
-    return components_of(marked, lambda reps: links(reps.select("fp")))
+    return components_of(marked, lambda reps: links(reps.select("fp"), radius))
 
 
 def components_of(marked: DataFrame, find: Callable[[DataFrame], DataFrame], carried: Sequence[Column] = ()) -> DataFrame:
