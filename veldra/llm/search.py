@@ -29,13 +29,15 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Query terms stand in so many documents at least: what stands in one finds nothing else.
 MIN_DF = 2
 #: Documents of a shard, documents of a run (block), queries of a block.
-SHARD, RUN, QUERIES = 16_384, 64, 65_536
+SHARD, RUN, QUERIES = 8192, 64, 65_536
 #: Bits of the filter over query terms that postings pass before they are sent to shards; a fixed 4 MB.
 FILTER_BITS = 1 << 25
 #: Scores are rounded to so many digits before they are compared, so that ties go by id alone.
 DIGITS = 6
 #: Sums of floats in another order differ by less than this; bounds give way by as much.
 SLACK = 1e-5
+#: Shorter lists are added together.
+SHORT_LIST = 128
 
 
 def _terms(text: bytes) -> list[bytes]:
@@ -120,9 +122,10 @@ class Shard:
         self.names, self.start = np.unique(term, return_index=True)
         self.stop = np.append(self.start[1:], len(term)).astype(np.int64)
         self.local, self.gain = local, gain
-        self.top = np.maximum.reduceat(gain, self.start) if len(term) else np.zeros(0)
+        del term, order
+        self.top = np.maximum.reduceat(gain, self.start) if len(gain) else np.zeros(0)
         self.runs = -(-len(self.docs) // RUN)
-        # Lists with more blocks than a quarter of the runs keep their maxima run by run.
+        # Lists with more postings than a quarter of the runs keep their maxima run by run.
         self.row = np.full(len(self.names), -1)
         long = np.flatnonzero(self.stop - self.start >= max(RUN // 8, self.runs // 4))
         self.row[long] = np.arange(len(long))
@@ -133,9 +136,9 @@ class Shard:
             edge = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
             self.peak[r, run[edge]] = np.maximum.reduceat(gain[a:b], edge)
         # The same postings by document, for the few documents that are scored one by one.
-        back = np.argsort(local, kind="stable")
+        back = np.argsort(local, kind="stable").astype(np.int32)
         self.by_doc, self.by_doc_gain = np.repeat(np.arange(len(self.names), dtype=np.int32), self.stop - self.start)[back], gain[back]
-        self.doc_start = np.searchsorted(local[back], np.arange(len(self.docs) + 1))
+        self.doc_start = np.append(0, np.cumsum(np.bincount(local, minlength=len(self.docs))))
         self.weight, self.sums = np.zeros(len(self.names)), np.zeros(len(self.docs))
         #: Postings of the lists that were asked for, those read list by list, and those read by document.
         self.asked = self.read = self.probed = 0
@@ -156,35 +159,49 @@ class Shard:
         order = np.argsort(-most, kind="stable")
         at, weights, most = at[order], weights[order], most[order]
         rest = np.append(np.cumsum(most[::-1])[::-1], 0.0)
-        first, last, local, gain = self.start[at].tolist(), self.stop[at].tolist(), self.local, self.gain
-        self.asked += sum(last) - sum(first)
-        sums, bar, own = self.sums, -np.inf, None
+        size = self.stop[at] - self.start[at]
+        left = int(size.sum())
+        self.asked += left
+        sums = self.sums
         sums[:] = 0.0
         if skip is not None and (i := int(np.searchsorted(self.docs, skip))) < len(self.docs) and self.docs[i] == skip:
-            own = i
-            sums[own] = -np.inf
+            sums[i] = -np.inf
         # The k-th best sum so far is looked up where the rest's maxima have fallen by a half, and again.
-        looks = set(np.searchsorted(-rest, -rest[0] / 2.0 ** np.arange(1, 7)).tolist())
-        done = len(at)
-        for i in range(len(at)):
-            if i in looks and len(self.docs) > k:
+        looks = np.unique(np.searchsorted(-rest, -rest[0] / 2.0 ** np.arange(1, 7))) if len(self.docs) > k else np.zeros(0, int)
+        edges = [0, *looks[(looks > 0) & (looks < len(at))].tolist(), len(at)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if i:
                 bar = float(np.partition(sums, -k)[-k]) - SLACK
-            if rest[i] < bar:
-                done = i
-                break
-            a, b = first[i], last[i]
-            sums[local[a:b]] += gain[a:b] * weights[i]
-            self.read += b - a
-        if done == len(at):
-            found = np.flatnonzero(sums > 0)
-            if len(found) > 4 * k:
-                found = found[sums[found] >= np.partition(sums[found], -k)[-k] - SLACK]
-            return self._best(found, sums[found], k)
-        found = np.flatnonzero(sums + rest[done] >= bar)
-        row = self.row[at[done:]]
-        kept = weights[done:][row >= 0] @ self.peak[row[row >= 0]] + most[done:][row < 0].sum()
-        found = found[sums[found] + kept[found // RUN] >= bar]
-        return self._best(found, self._whole(found, at, weights), k)
+                if rest[i] < bar:
+                    found = self._reaching(sums, rest[i], bar, at[i:], weights[i:], most[i:])
+                    # A posting costs more by document than by list.
+                    if 4 * int((self.doc_start[found + 1] - self.doc_start[found]).sum()) <= left:
+                        return self._best(found, self._whole(found, at, weights), k)
+            self._add(sums, at[i:j], weights[i:j], size[i:j])
+            left -= int(size[i:j].sum())
+        found = np.flatnonzero(sums > 0)
+        if len(found) > 4 * k:
+            found = found[sums[found] >= np.partition(sums[found], -k)[-k] - SLACK]
+        return self._best(found, sums[found], k)
+
+    def _add(self, sums: np.ndarray, at: np.ndarray, weights: np.ndarray, size: np.ndarray) -> None:
+        """Add the postings of the lists ``at`` to the sums: short lists all at once, long ones in turn."""
+        self.read += int(size.sum())
+        short = size < SHORT_LIST
+        if short.any():
+            n, first = size[short], self.start[at[short]]
+            posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sums += np.bincount(self.local[posting], weights=self.gain[posting] * np.repeat(weights[short], n), minlength=len(sums))
+        for t, w in zip(at[~short].tolist(), weights[~short].tolist(), strict=True):
+            a, b = self.start[t], self.stop[t]
+            sums[self.local[a:b]] += self.gain[a:b] * w
+
+    def _reaching(self, sums: np.ndarray, rest: float, bar: float, at: np.ndarray, weights: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Documents whose sum and the block maxima of the lists ``at`` in their run, ``rest`` in all at most, reach ``bar``."""
+        found = np.flatnonzero(sums + rest >= bar)
+        row = self.row[at]
+        bound = weights[row >= 0] @ self.peak[row[row >= 0]] + most[row < 0].sum()
+        return found[sums[found] + bound[found // RUN] >= bar]
 
     def _whole(self, found: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores of a few documents from all their postings."""
