@@ -28,9 +28,15 @@ def replaced(text, entities, new):
         i = text.index(e, at)
         gaps.append(text[at:i])
         at = i + len(e)
-    m = regex.fullmatch("(.+?)".join(map(regex.escape, [*gaps, text[at:]])), new, regex.S)
-    assert m, (text[:200], new[:200])
-    return list(m.groups())
+    gaps.append(text[at:])
+    assert new.startswith(gaps[0])
+    out, at = [], len(gaps[0])
+    for i, gap in enumerate(gaps[1:], 1):
+        end = len(new) - len(gap) if i == len(entities) else new.index(gap, at + 1)
+        assert new[end:].startswith(gap) and end > at
+        out.append(new[at:end])
+        at = end + len(gap)
+    return out
 
 
 def check(rows):
@@ -78,7 +84,7 @@ def test_small_cases(spark):
 
 
 def test_persons_keep_their_names_and_titles(spark):
-    text = "Mr. John Smith wrote; Mr. Smith left. Mrs. Smith stayed; Dr. Smith. Mr. John Miller, Dr. Kim Smith and Mrs. Kim Smith-Miller."
+    text = "Mr. John Smith wrote; Mr. Smith left. Mrs. Smith stayed; Dr. Smith; Mr. John Miller, Dr. Kim Smith and Mrs. Kim Smith-Miller."
     names = ["Mr. John Smith", "Mr. Smith", "Mrs. Smith", "Dr. Smith", "Mr. John Miller", "Dr. Kim Smith", "Mrs. Kim Smith-Miller"]
     new = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first().text
     full, short, wife, doctor, other, kim, double = (n.split(" ") for n in replaced(text, names, new))
@@ -89,7 +95,7 @@ def test_persons_keep_their_names_and_titles(spark):
 
 
 def test_documents(spark):
-    kinds = [r"[\w.%+-]+@mail\d+\.example\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"]
+    kinds = [r"[\w.%+-]+@mail\d+\.example\.com", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", r"(?<![0-9a-f])\d{16}(?![0-9a-f])"]
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     before = {r.doc_id: r.text for r in docs.collect()}
     out = queries.op6_surrogates(spark, "/root/testdata/sf0.01").collect()
