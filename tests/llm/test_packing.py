@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,7 +24,25 @@ def ids_of(text):
 @given(st.text(alphabet="abAÉéßİΣ'’., \n\t\x1c ́1½<|>_it's", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_ids_are_the_tokenizers(text):
-    assert np.frombuffer(packing.encoder(PATH).encode(text), "<u4").tolist() == ids_of(text)
+    ids, at = packing.encoder(PATH).encode(pa.array(["", text, "b " + text], pa.string()))
+    assert ids.tolist() == [*ids_of(text), *ids_of("b " + text)]
+    assert at.tolist() == [0, 0, len(ids_of(text)), len(ids)]
+
+
+def test_other_tokenizers_take_whole_texts():
+    other = packing.encoder(vocabulary("byte_bpe_50k.json"))
+    whole = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = ["Two  words.", "", "É ́x\n"]
+    ids, at = other.encode(pa.array(texts))
+    assert not other.by_word and packing.encoder(PATH).by_word
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_cover_all_rows():
+    texts = pa.array(["a" * n for n in (0, 5, 0, 30, 2, 2, 9)])
+    got = list(packing.slices(texts, 10))
+    assert [i for a, b in got for i in range(a, b)] == list(range(7)) and len(got) > 2
+    assert list(packing.slices(pa.array([], pa.string()))) == [] and list(packing.slices(pa.array([""]))) == [(0, 1)]
 
 
 def check(rows, docs):

@@ -10,65 +10,123 @@ greedily, and ranked pieces are dealt to the patterns' places.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.llm.common import bucket_count, materialize
 
 CAPACITY, STEP, END_ID = 2048, 64, 1
+END = struct.pack("<I", END_ID)
 #: Column generation stops when the linear program is proven within this share of its optimum.
 GAP = 1e-4
-#: Entries of a worker's word tables; words beyond them are encoded each time.
-WORDS, STEMS = 300_000, 500_000
-
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
-
-
-class WordEncoder(dict):
-    """Ids of a text as little-endian uint32, by word.
-
-    Words never join over spaces, so a text's ids are those of its space-separated parts in order. Parts
-    of Latin letters with at most one full stop or comma are encoded as lower-cased stem and mark; any
-    other part goes through the tokenizer as it is. The instance maps parts to bytes.
+#: Entries of a worker's table of stems; stems beyond it are encoded again for each slice.
+STEMS = 250_000
+#: Bytes of text whose parts are told apart together, and stems that are encoded together.
+SLICE, TOGETHER = 6 << 20, 1000
+
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+# The steps of a tokenizer that lower-cases, drops white space and never joins words over it.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+class WordEncoder:
+    """Ids of texts as arrays of uint32, each distinct part of a slice of texts encoded once.
+
+    Where the tokenizer's steps are those of :data:`_BY_WORD`, words never join over spaces, so a text's ids
+    are those of its space-separated parts in order. Parts of Latin letters with at most one full stop or
+    comma are lower-cased stem and mark, and stems are encoded many at a time: the last token of each ends a
+    word, and no other does. Other parts go through the tokenizer one by one. With other steps than those,
+    whole texts do.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        suffix = steps["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and all(steps.get(k) == v for k, v in _BY_WORD.items())
         self.stems: dict[str, bytes] = {}
-        self[""] = b""
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
-
-    def __missing__(self, part: str) -> bytes:
-        plain = _PLAIN(part)
-        got = self._stem(plain[1].lower()) + (self._stem(plain[2]) if plain[2] else b"") if plain else self._whole(part)
-        if len(self) < WORDS and len(part) < 64:
-            self[part] = got
-        return got
-
-    def _stem(self, stem: str) -> bytes:
-        got = self.stems.get(stem)
-        if got is None:
-            got = self._whole(stem)
-            if len(self.stems) < STEMS and len(stem) < 64:
-                self.stems[stem] = got
-        return got
+        self.marks = {m: self._whole(m) for m in ("", ".", ",")}
+        if self.by_word:
+            ranked = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(ranked.values()) + 1, bool)
+            self.ends[[i for t, i in ranked.items() if t.endswith(suffix)]] = True
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (no nulls) one after another, and where each text's start, with the end."""
+        if not self.by_word:
+            each = [self._whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), "<u4"), np.append(0, np.cumsum([len(x) // 4 for x in each])).astype(np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        known = self._parts(coded.dictionary)
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4))
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(known), "<u4")))
+        taken = lists.take(coded.indices)
+        bounds = taken.offsets.to_numpy()
+        offsets = split.offsets.to_numpy()
+        return taken.flatten().to_numpy(), bounds[offsets - offsets[0]] - bounds[0]
+
+    def _parts(self, parts: pa.Array) -> list[bytes]:
+        """The ids of each part; those of plain parts by their stems."""
+        plain = pc.match_substring_regex(parts, _PLAIN)
+        stems = pc.utf8_lower(pc.utf8_rtrim(parts, ".,"))
+        marked = pc.if_else(pc.ends_with(parts, "."), ".", pc.if_else(pc.ends_with(parts, ","), ",", "")).to_pylist()
+        coded = pc.filter(stems, plain).dictionary_encode()
+        ids = self._stems(coded.dictionary.to_pylist())
+        of = iter(coded.indices.to_pylist())
+        whole = iter(pc.filter(parts, pc.invert(plain)).to_pylist())
+        return [ids[next(of)] + self.marks[m] if p else self._whole(next(whole)) for p, m in zip(plain.to_pylist(), marked, strict=True)]
+
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        known = self.stems
+        new = [s for s in stems if s not in known]
+        found = {}
+        for i in range(0, len(new), TOGETHER):
+            some = new[i : i + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            raw, edges = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            found.update(zip(some, (raw[a:b] for a, b in zip([0, *edges[:-1]], edges, strict=True)), strict=True))
+        out = [known[s] if s in known else found[s] for s in stems]
+        for s, got in found.items():
+            if len(known) == STEMS:
+                break
+            if len(s) < 64:
+                known[s] = got
+        return out
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """``(from, to)`` of runs of rows that hold about ``most`` bytes; a longer text is a run of its own."""
+    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
+    block = np.cumsum(size) // most
+    edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(0, int)
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -99,15 +157,19 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary)
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.encode(text.as_py() or "") + struct.pack("<I", END_ID)
-                for start, length in cut(len(ids) // 4, capacity):
-                    part = ids[4 * start : 4 * (start + length)]
-                    for column, value in zip(rows, (i, start, length, zlib.crc32(part), len(ids) // 4, part if with_ids else None), strict=True):
-                        column.append(value)
-            arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            texts = pc.fill_null(batch.column(1), "")
+            for first, last in slices(texts):
+                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                ids, offsets = words.encode(texts.slice(first, last - first))
+                raw, bounds = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
+                for k, i in enumerate(batch.column(0).slice(first, last - first).to_pylist()):
+                    mine = bytes(raw[bounds[k] : bounds[k + 1]]) + END
+                    for start, length in cut(len(mine) // 4, capacity):
+                        part = mine[4 * start : 4 * (start + length)]
+                        for column, value in zip(rows, (i, start, length, zlib.crc32(part), len(mine) // 4, part if with_ids else None), strict=True):
+                            column.append(value)
+                arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
