@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from veldra.llm import packing
+from veldra.llm import common, packing
 from veldra.llm.queries import vocabulary
 
 PATH = vocabulary("word_bpe_49k.json")
@@ -40,9 +40,9 @@ def test_other_tokenizers_take_whole_texts():
 
 def test_slices_cover_all_rows():
     texts = pa.array(["a" * n for n in (0, 5, 0, 30, 2, 2, 9)])
-    got = list(packing.slices(texts, 10))
+    got = list(common.slices(texts, 10))
     assert [i for a, b in got for i in range(a, b)] == list(range(7)) and len(got) > 2
-    assert list(packing.slices(pa.array([], pa.string()))) == [] and list(packing.slices(pa.array([""]))) == [(0, 1)]
+    assert list(common.slices(pa.array([], pa.string()))) == [] and list(common.slices(pa.array([""]))) == [(0, 1)]
 
 
 def check(rows, docs):

@@ -8,6 +8,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +139,15 @@ def bucket_count(rows: int, per_bucket: int = 2048, most: int = 65_536) -> int:
     while n * per_bucket < rows and n < most:
         n *= 2
     return n
+
+
+#: Bytes of text that a Python worker looks at together.
+SLICE = 6 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """``(from, to)`` of runs of rows that hold about ``most`` bytes; a longer text is a run of its own."""
+    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
+    block = np.cumsum(size) // most
+    edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(0, int)
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)

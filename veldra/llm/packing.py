@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import bucket_count, materialize
+from veldra.llm.common import bucket_count, materialize, slices
 
 CAPACITY, STEP, END_ID = 2048, 64, 1
 END = struct.pack("<I", END_ID)
@@ -29,8 +29,8 @@ END = struct.pack("<I", END_ID)
 GAP = 1e-4
 #: Entries of a worker's table of stems; stems beyond it are encoded again for each slice.
 STEMS = 250_000
-#: Bytes of text whose parts are told apart together, and stems that are encoded together.
-SLICE, TOGETHER = 6 << 20, 1000
+#: Stems that are encoded together.
+TOGETHER = 1000
 
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 # The steps of a tokenizer that lower-cases, drops white space and never joins words over it.
@@ -119,14 +119,6 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """``(from, to)`` of runs of rows that hold about ``most`` bytes; a longer text is a run of its own."""
-    size = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
-    block = np.cumsum(size) // most
-    edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(0, int)
-    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 
