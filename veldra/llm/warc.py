@@ -8,6 +8,7 @@ every Zstandard reader passes over, so each part file is a valid ``.warc.zst`` a
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -107,60 +108,102 @@ def records(archive: bytes) -> Iterator[bytes]:
             if at + 8 + size > len(data):
                 raise ValueError("a skippable frame is cut short")
             if at == 0 and magic == DICT_MAGIC:
-                unpack = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(bytes(data[8 : 8 + size])))
+                words = bytes(data[8 : 8 + size])
+                if words[:4] == struct.pack("<I", FRAME_MAGIC):  # a dictionary may be compressed itself
+                    words = zstd.ZstdDecompressor().decompressobj().decompress(words)
+                unpack = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(words))
             at += 8 + size
             continue
         if magic != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")
         end = _frame_end(data, at)
-        yield unpack.decompress(data[at:end])
+        yield unpack.decompressobj().decompress(data[at:end])  # frames need not say how long they are
         at = end
 
 
-def _number(urn: str) -> int | None:
-    body = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(body) if body else None
+def _number(urn: str | None) -> int | None:
+    body = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(body) if body.isdecimal() or body[:1] == "-" and body[1:].isdecimal() else None
+
+
+def _hex(digest: str) -> str | None:
+    """The hex form of a labelled SHA-1 digest in hex or base 32; null for another algorithm."""
+    label, _, value = digest.strip().partition(":")
+    if label.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-cased name; a line that starts with white space goes on with the one before."""
+    named: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            named[name] = f"{named[name]} {line.strip()}".strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise ValueError(f"malformed header {line[:40]!r}")
+        named[name] = value.strip()
+    return named
 
 
 def parse(raw: bytes) -> dict:
-    """The fields of a record, after checks of its version, headers, lengths and digest."""
+    """The fields of a record of any type, after checks of its version, headers, lengths and digest.
+
+    ``page_id`` and ``refers_to`` are the numbers of record ids as :func:`record` writes them, null for other
+    ids. A response's payload is what follows its HTTP head; its length and digest are checked where the head
+    and the record name them, but for a body sent in chunks, whose stored form they do not describe.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    version, *fields = head.decode().split("\r\n")
+    version, *lines = head.decode(errors="replace").split("\r\n")
     if not gap or version not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("no WARC head")
-    named = {}
-    for field in fields:
-        name, colon, value = field.partition(":")
-        if not colon:
-            raise ValueError(f"malformed header {field[:40]!r}")
-        named[name.strip().lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"):
+    named = _fields(lines)
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in named:
             raise ValueError(f"no {name} header")
-    if int(named["content-length"]) + 4 != len(rest) or not rest.endswith(b"\r\n\r\n"):
+    if not named["content-length"].isdecimal() or int(named["content-length"]) + 4 != len(rest) or not rest.endswith(b"\r\n\r\n"):
         raise ValueError("Content-Length does not match the block")
-    http, gap, body = rest[:-4].partition(b"\r\n\r\n")
-    lengths = [int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if not gap or len(lengths) != 1:
-        raise ValueError("no HTTP head with a Content-Length")
-    kind, digest = named["warc-type"], named["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response":
-        if lengths[0] != len(body) or hashlib.sha1(body).hexdigest() != digest:
-            raise ValueError("the payload does not match its length or digest")
-    elif kind != "revisit" or body or "warc-refers-to" not in named:
-        raise ValueError(f"malformed {kind} record")
+    kind, block = named["warc-type"], rest[:-4]
+    digest = _hex(named["warc-payload-digest"]) if "warc-payload-digest" in named else None
+    payload, size = block, len(block)
+    if kind in ("response", "revisit") and named.get("content-type", "").startswith("application/http"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap:
+            raise ValueError("no end of the HTTP head")
+        told = _fields(http.decode(errors="replace").split("\r\n")[1:])
+        length, chunked = told.get("content-length"), "transfer-encoding" in told
+        if length is not None and not length.isdecimal():
+            raise ValueError("the HTTP Content-Length is no number")
+        size = len(payload) if kind == "response" else int(length) if length else None
+        if kind == "response" and not chunked:
+            if length is not None and int(length) != len(payload):
+                raise ValueError("the payload does not match its length")
+            if digest is not None and hashlib.sha1(payload).hexdigest() != digest:
+                raise ValueError("the payload does not match its digest")
+    if kind == "revisit" and (payload or "warc-refers-to" not in named and "warc-refers-to-target-uri" not in named):
+        raise ValueError("malformed revisit record")
+    if kind == "response" and digest is None:
+        digest = hashlib.sha1(payload).hexdigest()
     return {
+        "record_id": named["warc-record-id"],
         "page_id": _number(named["warc-record-id"]),
         "url": named.get("warc-target-uri"),
         "record_type": kind,
-        "payload_bytes": lengths[0],
+        "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": _number(named["warc-refers-to"]) if kind == "revisit" else None,
-        "payload": body if kind == "response" else None,
+        "refers_to": _number(named.get("warc-refers-to")),
+        "payload": None if kind == "revisit" else payload,
+        "error": None,
     }
 
 
-_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+_KINDS = [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64())]
+_KINDS += [("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())]
+_SCHEMA = "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -200,22 +243,44 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     out.write.mode("error").option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """A row for each record of the archives below ``path``; a malformed one fails the read with its reason."""
+def read_archives(spark: SparkSession, path: str, payload: bool = True, strict: bool = True, pattern: str = "part-*") -> DataFrame:
+    """A row for each record of the archives below ``path`` whose names match ``pattern``.
+
+    With ``strict``, a malformed record or archive fails the read with its reason. Without, it is a row that
+    has ``error`` alone: the other records of the archive follow, up to where its frames can be told apart.
+    An archive is one value to Spark, so it may have 2 GB at most; those of :func:`write_archives` hold what
+    one task has read.
+    """
+
+    def parsed(raw: bytes) -> dict:
+        try:
+            return parse(raw)
+        except ValueError as bad:
+            if strict:
+                raise
+            return dict.fromkeys(k for k, _ in _KINDS) | {"error": str(bad)}
+
+    def rows_of(archive: bytes) -> Iterator[dict]:
+        try:
+            for raw in records(archive):
+                yield parsed(raw)
+        except (ValueError, zstd.ZstdError) as bad:
+            if strict:
+                raise
+            yield dict.fromkeys(k for k, _ in _KINDS) | {"error": str(bad)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(_KINDS)
         for batch in batches:
             for archive in batch.column(0):
                 rows, size = [], 0
-                for raw in records(archive.as_py()):
-                    rows.append(parse(raw) if payload else parse(raw) | {"payload": None})
-                    size += len(raw) if payload else 200
+                for row in rows_of(archive.as_py()):
+                    rows.append(row if payload else row | {"payload": None})
+                    size += 200 + len(rows[-1]["payload"] or b"")
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64())]
-    schema = pa.schema([*kinds, ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
     return files.mapInArrow(run, _SCHEMA)
