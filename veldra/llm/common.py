@@ -81,15 +81,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of that table and no recomputation. The table
-    belongs to the innermost :func:`tables` block, else to the application.
+    belongs to the innermost :func:`tables` block, else to the application. Partitions are merged up to the
+    advised size, so a small table is one file and not one for each core.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    with _setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veldra_path = path
     if _owners:

@@ -70,13 +70,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataF
     within a bucket, so the hottest source is spread over as many tasks as it has buckets.
 
     Null or empty text has size 0 and is taken 0 times. A null source is a source of its own, last in
-    order. Null and repeated ``doc_id`` are ordinary rows: equal ones are ordered by size and lie
-    beside each other. Extra columns pass through; those named like results are replaced.
+    order. Null and repeated ``doc_id`` are ordinary rows: equal ones lie beside each other, ordered by size
+    and by a hash of the text, so that reruns agree. A very long text is a row like others; an empty table
+    gives no rows. Extra columns pass through; those named like results are replaced. The table of sources
+    and targets is sorted in one task: a row for each source.
     """
     made = ["size", "source_size", "source_rank", "target", "taken", "uses", "position"]
     base = docs.drop(*[c for c in docs.columns if c in made])
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = base.withColumn("size", n_words(F.col("text"))).withColumn("__v_order", order)
+    sized = base.withColumn("size", n_words(F.col("text"))).withColumns({"__v_order": order, "__v_tie": F.xxhash64("text")})
     slim = materialize(sized.select("source", "size", "__v_order"), "mix-sizes")
     buckets = bucket_count(slim.count())
 
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataF
     starts = materialize(starts.join(info, F.col("__v_source").eqNullSafe(F.col("__v_source2"))).drop("__v_source2"), "mix-starts")
 
     rows = sized.withColumn("__v_bucket", bucket())
-    within = Window.partitionBy("source", "__v_bucket").orderBy("__v_order", F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "__v_bucket").orderBy("__v_order", F.col("size").desc(), "__v_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__v_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("__v_source")) & (F.col("__v_bucket") == F.col("__v_b")))
     at = F.col("__v_start") + F.col("__v_in")

@@ -1,7 +1,8 @@
-"""Near copies by shingle sets: MinHash bands propose pairs, exact Jaccard similarity decides.
+"""Near copies by shingle sets: SimHash and MinHash propose pairs, exact Jaccard similarity decides.
 
-A pair at similarity 0.8 differs in about 10 of 64 SimHash bits, too many for pigeonhole groups that stay
-small, so pairs are proposed by bands of MinHash values: a pair at 0.8 shares none of the 32 bands of five
+SimHash classes (fingerprints that the Gray-order index links within 2 bits) are compared first of all, but
+a pair at similarity 0.8 differs in about 10 of 64 bits, too many for any blocks that must agree to tell
+texts apart. So bands of MinHash values propose pairs too: a pair at 0.8 shares none of the 32 bands of five
 with probability 3e-6, a more similar one more rarely still. No pair is linked without comparing the sets.
 """
 
@@ -15,7 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldra.llm import simhash
 from veldra.llm.common import materialize
+from veldra.llm.components import connected_components
 from veldra.llm.simhash import components_of, row_keys, rows_that_stay
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -57,20 +60,21 @@ def _name(hashes: np.ndarray) -> int:
 
 
 def _marked(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, fp, bands)`` and the row's key for each row; ``fp`` names the shingle set."""
+    """``(doc_id, fp, sim, bands)`` and the row's key for each row; ``fp`` names the shingle set, ``sim`` is its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, keys = [], []
+            names, sims, keys = [], [], []
             for text in batch.column(3).cast(pa.binary()):
                 hashes = shingles(text.as_py() or b"", width)
                 names.append(_name(hashes))
+                sims.append(simhash.from_hashes(hashes))
                 keys.append(bands(hashes))
-            made = [pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "__v_k1", "__v_k2", "fp", "bands"])
+            made = [pa.array(names, pa.int64()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "__v_k1", "__v_k2", "fp", "sim", "bands"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *row_keys(docs), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, __v_k1 long, __v_k2 long, fp long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, __v_k1 long, __v_k2 long, fp long, sim long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -109,8 +113,10 @@ def compare(rows: Iterator[tuple[int, int, bytes]], least: float = SIMILARITY) -
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """Links ``(a, b)`` that span every class of the distinct sets ``reps(fp, rep, bands)`` of ``docs``."""
-    buckets = reps.select("fp", F.explode("bands").alias("band"))
+    """Links ``(a, b)`` that span every class of the distinct sets ``reps(fp, rep, sim, bands)`` of ``docs``."""
+    classes = connected_components(simhash.links(materialize(reps.select(F.col("sim").alias("fp")).distinct(), "fingerprints")))
+    alike = reps.select("fp", "sim").join(classes, F.col("sim") == F.col("node"), "left")
+    buckets = reps.select("fp", F.explode("bands").alias("band")).union(alike.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("label", "sim"))))
     members = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in range(2)]
     sized = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
     # Bands that hold the same sets are compared once.
@@ -144,7 +150,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     texts without words are equal, equal sets meet before any search.
     """
     marked = materialize(_marked(docs, width), "shingled")
-    return components_of(marked, lambda reps: links(docs, reps, width, least), [F.any_value("bands").alias("bands")])
+    return components_of(marked, lambda reps: links(docs, reps, width, least), [F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands")])
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:

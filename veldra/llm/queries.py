@@ -37,7 +37,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    out = mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

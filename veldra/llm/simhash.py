@@ -36,6 +36,12 @@ FANOUT = 8
 _CHUNK = 1 << 16
 
 
+def from_hashes(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes: 0 for none, else bits set in over half of them."""
+    count = sum((_bit_counts(hashes[i : i + _CHUNK]) for i in range(0, len(hashes), _CHUNK)), np.zeros(64, np.int64))
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, width: int = WIDTH) -> int:
     """The 64-bit SimHash of ``text``: 0 for no words, else bits set in over half the shingle hashes."""
     words = text.lower().split()
@@ -317,8 +323,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def rows_that_stay(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``found`` marks, one of those that repeat."""
-    keep = found.where("stays").select("__v_k1", "__v_k2").distinct()
+    """The rows of ``docs`` that ``found`` marks, one of those that repeat; keys are hashed and texts stream past them."""
+    keep = materialize(found.where("stays").groupBy("__v_k1", "__v_k2").agg(F.count(F.lit(1)).alias("__v_n")), "staying")
     k1, k2 = row_keys(docs)
-    rows = docs.withColumns({"__v_k1": k1, "__v_k2": k2}).join(keep, ["__v_k1", "__v_k2"], "left_semi")
-    return rows.dropDuplicates(["__v_k1", "__v_k2"]).select(*docs.columns)
+    rows = docs.withColumns({"__v_k1": k1, "__v_k2": k2}).join(keep.drop("__v_n").hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left_semi")
+    if keep.where("__v_n > 1").head():
+        rows = rows.dropDuplicates(["__v_k1", "__v_k2"])
+    return rows.select(*docs.columns)
