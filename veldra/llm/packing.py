@@ -27,12 +27,14 @@ CAPACITY, STEP, END_ID = 2048, 64, 1
 END = struct.pack("<I", END_ID)
 #: Column generation stops when the linear program is proven within this share of its optimum.
 GAP = 1e-4
-#: Entries of a worker's table of stems; stems beyond it are encoded again for each slice.
-STEMS = 250_000
+#: Entries of a worker's tables of stems and of other parts; what is beyond them is encoded again for each slice.
+STEMS, OTHERS = 200_000, 50_000
 #: Stems that are encoded together.
 TOGETHER = 1000
 
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+#: What may follow a stem.
+_MARKS = ("", ".", ",")
 # The steps of a tokenizer that lower-cases, drops white space and never joins words over it.
 _BY_WORD = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -65,7 +67,8 @@ class WordEncoder:
         suffix = steps["model"].get("end_of_word_suffix")
         self.by_word = bool(suffix) and all(steps.get(k) == v for k, v in _BY_WORD.items())
         self.stems: dict[str, bytes] = {}
-        self.marks = {m: self._whole(m) for m in ("", ".", ",")}
+        self.others: dict[str, bytes] = {}
+        self.marks = [self._whole(m) for m in _MARKS]
         if self.by_word:
             ranked = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(ranked.values()) + 1, bool)
@@ -78,24 +81,25 @@ class WordEncoder:
             return np.frombuffer(b"".join(each), "<u4"), np.append(0, np.cumsum([len(x) // 4 for x in each])).astype(np.int64)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        known = self._parts(coded.dictionary)
-        ends = np.append(0, np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // 4))
-        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(known), "<u4")))
-        taken = lists.take(coded.indices)
+        taken = self._parts(coded.dictionary).take(coded.indices)
         bounds = taken.offsets.to_numpy()
         offsets = split.offsets.to_numpy()
         return taken.flatten().to_numpy(), bounds[offsets - offsets[0]] - bounds[0]
 
-    def _parts(self, parts: pa.Array) -> list[bytes]:
-        """The ids of each part; those of plain parts by their stems."""
+    def _parts(self, parts: pa.Array) -> pa.LargeListArray:
+        """The ids of each part: those of a unit (a stem, or the part as it is) and of its mark."""
         plain = pc.match_substring_regex(parts, _PLAIN)
-        stems = pc.utf8_lower(pc.utf8_rtrim(parts, ".,"))
-        marked = pc.if_else(pc.ends_with(parts, "."), ".", pc.if_else(pc.ends_with(parts, ","), ",", "")).to_pylist()
-        coded = pc.filter(stems, plain).dictionary_encode()
-        ids = self._stems(coded.dictionary.to_pylist())
-        of = iter(coded.indices.to_pylist())
-        whole = iter(pc.filter(parts, pc.invert(plain)).to_pylist())
-        return [ids[next(of)] + self.marks[m] if p else self._whole(next(whole)) for p, m in zip(plain.to_pylist(), marked, strict=True)]
+        stems = pc.filter(pc.utf8_lower(pc.utf8_rtrim(parts, ".,")), plain).dictionary_encode()
+        whole = [self._other(p) for p in pc.filter(parts, pc.invert(plain)).to_pylist()]
+        units = _lists([*self.marks, *self._stems(stems.dictionary.to_pylist()), *whole])
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        pair = np.zeros((len(parts), 2), np.int64)  # unit 0 is no mark
+        pair[is_plain, 0] = len(self.marks) + stems.indices.to_numpy()
+        pair[~is_plain, 0] = len(self.marks) + len(stems.dictionary) + np.arange(len(whole))
+        ends = [pc.ends_with(parts, mark).to_numpy(zero_copy_only=False) for mark in _MARKS[1:]]
+        pair[is_plain, 1] = sum(i * e[is_plain] for i, e in enumerate(ends, 1))
+        both = units.take(pa.array(pair.ravel()))
+        return pa.LargeListArray.from_arrays(both.offsets[::2], both.flatten())
 
     def _stems(self, stems: list[str]) -> list[bytes]:
         known = self.stems
@@ -114,11 +118,25 @@ class WordEncoder:
                 known[s] = got
         return out
 
+    def _other(self, part: str) -> bytes:
+        got = self.others.get(part)
+        if got is None:
+            got = self._whole(part)
+            if len(self.others) < OTHERS and len(part) < 64:
+                self.others[part] = got
+        return got
+
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _lists(packed: list[bytes]) -> pa.LargeListArray:
+    """Lists of ids from their little-endian bytes."""
+    ends = np.append(0, np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4))
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<u4")))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
