@@ -45,13 +45,13 @@ def test_vectors(spark):
 def test_negative_idf_repeats_and_empty_questions(spark):
     texts = ["a b", "a c", "a d", "a e", "f", "g"]
     corpus = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
-    idf = {r.token: r.idf for r in rt.idf_table(rt.postings(corpus), rt.corpus_stats(corpus)).collect()}
+    idf = {r.token: r.idf for r in rt.idf_table(rt.build_index(corpus)).collect()}
     import math
 
     raw = {t: math.log(6 - n + 0.5) - math.log(n + 0.5) for t, n in {"a": 4, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1, "g": 1}.items()}
     assert idf["a"] == pytest.approx(0.25 * sum(raw.values()) / 7) and idf["b"] == pytest.approx(raw["b"])
     questions = spark.createDataFrame([(1, "b"), (2, "b b"), (3, ""), (4, "zzz")], "qid long, question string")
-    scores = rt.bm25_scores(corpus, questions)
+    scores = rt.bm25_scores(rt.build_index(corpus), questions)
     got = {(r.qid, r.idx): r.bm25_score for r in scores.collect()}
     assert got[(2, 0)] == pytest.approx(2 * got[(1, 0)]) and not [k for k in got if k[0] > 2]
     pool = rt.bm25_topk(scores, corpus, questions, 3).collect()

@@ -6,11 +6,12 @@ array, so they run inside the JVM and need no ordering beyond the array's own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import text as tx
 from veldra.operators.methods import CHUNK_OVERLAP, CHUNK_SIZE
+from veldra.sources.stores import staged
 
 SHORT_SECTION = 200
 PRICE_PER_MILLION, CHUNKS_PER_SECOND = 0.02, 200
@@ -25,10 +26,25 @@ def windows(tokens: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 
 
 def window_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """``(doc_id, source_file, publisher, part, n_tokens, text)`` of ``docs(doc_id, source_file, publisher, text)``."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    each = docs.select("doc_id", "source_file", "publisher", F.posexplode(windows(words, size, overlap)).alias("part", "w"))
-    return each.select("doc_id", "source_file", "publisher", "part", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("text"))
+    """``(doc_id, source_file, publisher, part, n_tokens, char_offset, text)`` of ``docs(doc_id, source_file, publisher, text)``.
+
+    ``char_offset`` is where a window's first word starts in the text, from the lengths of the gaps and words before.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    taken = docs.select("doc_id", "source_file", "publisher", text.alias("__text"), words.alias("__words"))
+    step = size - overlap
+    # The text cut before every step-th word: a window starts where its part does.
+    gaps = F.regexp_extract_all("__text", F.lit(rf"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){{1,{step}}}"), F.lit(0))
+    starts = F.aggregate(
+        F.col("__gaps"),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda a, g: F.struct((a["at"] + F.length(g)).alias("at"), F.concat(a["out"], F.array((a["at"] + F.length(g) - F.length(F.ltrim(g, F.lit(" \t\n\x0b\x0c\r")))).cast("int"))).alias("out")),
+        lambda a: a["out"],
+    )
+    placed = taken.withColumn("__gaps", gaps).withColumn("__starts", starts)
+    each = placed.select("doc_id", "source_file", "publisher", "__starts", F.posexplode(windows(F.col("__words"), size, overlap)).alias("part", "w"))
+    return each.select("doc_id", "source_file", "publisher", "part", F.size("w").alias("n_tokens"), F.get("__starts", F.col("part")).alias("char_offset"), F.array_join("w", " ").alias("text"))
 
 
 def char_offsets(text: Column, pieces: Column, probe: int = 40) -> Column:
@@ -46,19 +62,17 @@ def char_offsets(text: Column, pieces: Column, probe: int = 40) -> Column:
 def number_chunks(chunks: DataFrame, order: list[str], first: int = 0) -> DataFrame:
     """``chunks`` with ``chunk_id``: publisher and a running number over the whole corpus, in ``order``.
 
-    Numbers come from counts of ranges of a distributed sort, so no task sees all rows.
+    Rows are sorted by range and written once with their range and place; numbers come from the counts of
+    ranges, so no task sees all rows and no second sort can cut the ranges elsewhere.
     """
-    spark = chunks.sparkSession
-    ranged = chunks.sortWithinPartitions(*order) if chunks.rdd.getNumPartitions() == 1 else chunks.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    counts = sorted((r["__part"], r["count"]) for r in marked.groupBy("__part").count().collect())  # a row for each partition
-    starts, at = [], first
-    for part, n in counts:
-        starts.append((part, at))
-        at += n
-    table = F.broadcast(spark.createDataFrame(starts, "__part int, __start long"))
+    ranged = chunks.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    marked = staged(ranged.withColumns({"__part": F.spark_partition_id(), "__n": place}), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__count"))  # a row for each range
+    starts = counts.select("__part", (F.coalesce(F.sum("__count").over(before), F.lit(0)) + first).alias("__start"))
     number = F.col("__start") + F.col("__n")
-    return marked.join(table, "__part").withColumn("chunk_id", F.format_string("%s_%07d", F.col("publisher"), number)).drop("__part", "__n", "__start")
+    return marked.join(F.broadcast(starts), "__part").withColumn("chunk_id", F.format_string("%s_%07d", F.col("publisher"), number)).drop("__part", "__n", "__start")
 
 
 def next_numbers(chunks: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldra.functions.text import strip_diacritics
+from veldra.operators.chunking import number_chunks, preflight
+from veldra.sources.stores import back_up, remove, roll_back, staged
 
 # Parts of file names that make a statute relevant, and parts of words that make an anchor.
 KEYWORDS = "vero verotus verosopim tulo lähde arvonlisä ennakkop kirjanpito tilintarkast elinkein avainhenki perintö lahja kiinteistö osinko luovutus palkka eläke".split()
@@ -25,6 +28,23 @@ def relevant(path: Column, publisher: Column, keywords=KEYWORDS, always: str = A
     return (publisher != filtered) | path.contains(always) | named
 
 
+def left_out(files: DataFrame, **rule) -> DataFrame:
+    """The files of ``files(path, publisher)`` that :func:`relevant` leaves out."""
+    return files.where(~F.coalesce(relevant(F.col("path"), F.col("publisher"), **rule), F.lit(False)))
+
+
+def kept_and_total(files: DataFrame, **rule) -> DataFrame:
+    """``(publisher, kept, total)``: what the filter keeps of each publisher's files."""
+    keeps = F.coalesce(relevant(F.col("path"), F.col("publisher"), **rule), F.lit(False))
+    return files.groupBy("publisher").agg(F.count_if(keeps).alias("kept"), F.count(F.lit(1)).alias("total"))
+
+
+def matched_questions(asked: DataFrame, promoted: DataFrame) -> DataFrame:
+    """One row: questions of ``asked(qid, ...)`` that ``promoted(qid, ...)`` has a file for, and all."""
+    found = promoted.select("qid").distinct().withColumn("hit", F.lit(True))
+    return asked.select("qid").distinct().join(found, "qid", "left").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("matched"), F.count(F.lit(1)).alias("total"))
+
+
 def promote_keywords(files: DataFrame, needles: list[str]) -> DataFrame:
     """Files whose name holds one of ``needles``; blank ones do not count."""
     wanted = [re.escape(n.strip().lower()) for n in needles if n.strip()]
@@ -90,3 +110,41 @@ def rescue_case(files: DataFrame) -> DataFrame:
     ranked = safe.withColumn("i", F.row_number().over(w) - 1)
     stem, ending = F.regexp_extract("safe", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("safe", r"(\.[^./]*)?$", 1)
     return ranked.withColumn("stored", F.when(F.col("i") > 0, F.concat(stem, F.lit("__case"), F.col("i").cast("string"), ending)).otherwise(F.col("safe"))).drop("i")
+
+
+def append_files(spark: SparkSession, store: str, files: DataFrame, chunk: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], dim: int, dry_run: bool = False) -> dict:
+    """Chunk, number, embed and store the files of ``files(path, publisher, ...)`` that the index lacks; what was done, in counts.
+
+    ``chunk`` gives ``(source_file, publisher, n_tokens, text, ...)`` rows and ``embed`` vectors of
+    ``(idx, text)``. Chunks and vectors must agree before, and do so after: both tables are backed up first and
+    put back if anything fails. A dry run counts and prices, and writes nothing.
+    """
+    places = [f"{store}/chunks", f"{store}/vectors"]
+    chunks, vectors = (spark.read.parquet(p) for p in places)
+    before = chunks.count()
+    if (held := vectors.count()) != before:
+        raise ValueError(f"the index holds {before} chunks and {held} vectors; build it anew first")
+    todo = not_indexed(files, chunks)
+    done = {"chunks_before": before, "files": todo.count(), "files_known": files.count(), "chunks_new": 0, "tokens": 0, "usd": 0.0, "written": False}
+    done["files_known"] -= done["files"]
+    first = (chunks.agg(F.max("idx")).first()[0] or 0) + 1 if before else 0
+    ranks = number_chunks(chunk(todo), ["source_file", "part"], first)
+    made = staged(ranks.withColumn("idx", F.expr("CAST(substring_index(chunk_id, '_', -1) AS BIGINT)")), "appended")
+    plan = preflight(made).first()
+    done |= {"chunks_new": plan.chunks, "tokens": plan.tokens, "usd": plan.usd}
+    if dry_run or not plan.chunks:
+        return done
+    copies = [back_up(spark, p) for p in places]
+    try:
+        embed(made.select("idx", "text")).write.mode("append").parquet(places[1])
+        made.select(*[F.col(c) if c in made.columns else F.lit(None).cast(t).alias(c) for c, t in chunks.dtypes]).write.mode("append").parquet(places[0])
+        now = [spark.read.parquet(p) for p in places]
+        if any(df.count() != before + plan.chunks for df in now) or now[1].where(F.size("embedding") != dim).head():
+            raise ValueError("chunks and vectors do not agree after the append")
+    except BaseException:
+        for place, copy in zip(places, copies, strict=True):
+            roll_back(spark, place, copy)
+        raise
+    for copy in copies:
+        remove(spark, copy)
+    return done | {"written": True}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veldra.operators import retrieval as rt
 from veldra.operators.methods import EDGE_PRIORITY, GRAPH_CAP, GRAPH_K, GRAPH_SEEDS, HYBRID_GRAPH_K, HYBRID_GRAPH_SEEDS, RRF_K
+from veldra.sources.stores import staged
 
 
 def edges(chunks: DataFrame) -> DataFrame:
@@ -88,22 +89,24 @@ def expand(seeds: DataFrame, near: DataFrame, depth: int = 2) -> DataFrame:
 def retrieve(chunks: DataFrame, questions: DataFrame, near: DataFrame, seeds: int = GRAPH_SEEDS, k: int = GRAPH_K, depth: int = 2) -> DataFrame:
     """Hits of dense seeds and what the graph adds to them, ranked by cosine."""
     first = rt.dense_topk(chunks, questions, seeds).select("qid", "idx", F.col("rank").alias("ord"))
+    near = staged(near, "adjacency")  # read once for each step
     pool = rt.similarities(expand(first, near, depth), chunks, questions)
     best = rt.rank_within(pool, "qid", [F.desc("similarity"), F.asc("idx")], k)
     return best.select("qid", "rank", "idx", "similarity", F.col("distance").alias("graph_distance"), F.col("edge").alias("graph_edge"), F.col("seed").alias("graph_seed_origin"))
 
 
-def retrieve_hybrid(chunks: DataFrame, questions: DataFrame, near: DataFrame, seeds: int = HYBRID_GRAPH_SEEDS, k: int = HYBRID_GRAPH_K, depth: int = 2, rrf_k: int = RRF_K) -> DataFrame:
+def retrieve_hybrid(chunks: DataFrame, questions: DataFrame, near: DataFrame, seeds: int = HYBRID_GRAPH_SEEDS, k: int = HYBRID_GRAPH_K, depth: int = 2, rrf_k: int = RRF_K, index: rt.Index | None = None) -> DataFrame:
     """Hits of dense and BM25 seeds and what the graph adds, fused by their ranks inside the pool.
 
     ``dense_rank`` and ``bm25_rank`` shown are those among the seeds, -1 where a hit was no seed.
     """
-    scores = rt.bm25_scores(chunks, questions)
+    scores = staged(rt.bm25_scores(index or rt.build_index(chunks), questions), "scores")
     dense = rt.dense_topk(chunks, questions, seeds).select("qid", "idx", F.col("rank").alias("dense_rank"))
     lexical = rt.bm25_topk(scores, chunks, questions, seeds).select("qid", "idx", F.col("rank").alias("bm25_rank"))
-    either = dense.join(lexical, ["qid", "idx"], "full_outer")
+    either = staged(dense.join(lexical, ["qid", "idx"], "full_outer"), "seeds")
     order = Window.partitionBy("qid").orderBy(F.col("dense_rank").asc_nulls_last(), "bm25_rank")
     first = either.withColumn("ord", F.row_number().over(order))
+    near = staged(near, "adjacency")  # read once for each step
     pool = rt.similarities(expand(first, near, depth), chunks, questions).join(scores, ["qid", "idx"], "left")
     pool = pool.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0)))
     ranked = rt.rank_within(pool, "qid", [F.desc("similarity"), F.asc("idx")], name="d")

@@ -12,15 +12,28 @@ HYBRID_GRAPH_SEEDS, HYBRID_GRAPH_K = 10, 12
 EDGE_PRIORITY = ("part", "sibling", "chapter", "statute")
 REWRITE_SUFFIX = "_qfi"
 
-# The methods on offer, in order of display.
+#: The method where none is named.
+DEFAULT = "section_v1"
+#: Methods on offer with what they do, the recommended one first.
 CATALOG = [
-    ("section_v1", "section_v1 (recommended)", True),
-    ("baseline", "baseline (naive RAG)", False),
-    ("hybrid_section_v1", "hybrid_section_v1 (BM25+dense)", False),
-    ("section_v1_qfi", "section_v1_qfi (Finnish query rewrite)", False),
-    ("hybrid_graph_section_v1", "hybrid_graph_section_v1", False),
-    ("hybrid_section_v1_qfi", "hybrid_section_v1_qfi (hybrid + Finnish rewrite)", False),
+    (DEFAULT, "sections, by meaning", True),
+    ("baseline", "fixed windows, by meaning", False),
+    ("hybrid_section_v1", "sections, by meaning and by words", False),
+    ("section_v1_qfi", "sections, by meaning, question translated first", False),
+    ("hybrid_graph_section_v1", "sections, by meaning, words and neighbourhood", False),
+    ("hybrid_section_v1_qfi", "sections, by meaning and by words, question translated first", False),
 ]
+#: What the beginning of a name decides, the first that fits: retriever, hits, index (``{}``: the rest of the name).
+ROUTES = (
+    ("hybrid_graph_section_", "hybrid_graph", HYBRID_GRAPH_K, "section_{}"),
+    ("hybrid_graph_", "hybrid_graph", HYBRID_GRAPH_K, "section_{}"),
+    ("hybrid_graph", "hybrid_graph", HYBRID_GRAPH_K, "section_v1"),
+    ("graph_", "graph", GRAPH_K, "section_{}"),
+    ("graph", "graph", GRAPH_K, "section_v1"),
+    ("hybrid", "hybrid", HYBRID_K, "section_v1"),
+    ("section", "dense", SECTION_K, "section{}"),
+    ("", "dense", BASE_K, "{}"),
+)
 
 
 @dataclass(frozen=True)
@@ -40,10 +53,9 @@ def resolve(name: str) -> Method:
     """The meaning of ``name``, longest prefix first; the rewrite suffix changes neither index nor retriever."""
     rewrites = name.endswith(REWRITE_SUFFIX)
     base = name.removesuffix(REWRITE_SUFFIX)
-    chunker = "section" if base.startswith(("section", "graph")) else "baseline"
-    for prefix, retriever, k in (("hybrid_graph", "hybrid_graph", HYBRID_GRAPH_K), ("graph", "graph", GRAPH_K), ("hybrid", "hybrid", HYBRID_K)):
-        if base.startswith(prefix):
-            rest = base[len(prefix) :].lstrip("_")
-            index = "section_v1" if retriever == "hybrid" or not rest else rest if retriever == "hybrid_graph" and rest.startswith("section_") else f"section_{rest}"
-            return Method(name, index, retriever, k, rewrites, retriever != "graph", chunker)
-    return Method(name, base, "dense", SECTION_K if base.startswith("section") else BASE_K, rewrites, False, chunker)
+    for prefix, retriever, k, index in ROUTES:
+        rest = base.removeprefix(prefix)
+        if base.startswith(prefix) and (rest or not prefix.endswith("_")):
+            chunker = "section" if base.startswith(("section", "graph")) else "baseline"
+            return Method(name, index.format(rest), retriever, k, rewrites, retriever.startswith("hybrid"), chunker)
+    raise AssertionError("the last route takes every name")

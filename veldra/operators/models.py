@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED, MAX_FOLDS = 42, 5
+#: Grid points that are tried at a time.
+THREADS = 8
 GRIDS = {
     "dummy_majority": [{}],
     "decision_tree": [{"depth": d, "leaf": m, "weight": w} for d, m, w in product((2, 3, 4), (4, 8), (None, "balanced"))],
@@ -54,19 +57,23 @@ def fold_summary(per_fold: DataFrame, by: list[str]) -> DataFrame:
     return per_fold.groupBy(*by).agg(*[f(m).alias(f"cv_{k}_{m}") for m in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
-def _weighted(rows: DataFrame, weight: str | None) -> DataFrame:
+def label_counts(rows: DataFrame) -> dict[int, int]:
+    return {int(r.label): r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+
+
+def _weighted(rows: DataFrame, weight: str | None, n: dict[int, int]) -> DataFrame:
     if weight is None:
         return rows.withColumn("w", F.lit(1.0))
-    n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     total = sum(n.values())
     return rows.withColumn("w", F.when(F.col("label") == 1, total / (2.0 * n.get(1, 1))).otherwise(total / (2.0 * n.get(0, 1))))
 
 
-def fit(rows: DataFrame, features: list[str], kind: str, params: dict) -> PipelineModel | float:
-    """A model of ``kind`` on all ``rows``; the dummy is the larger class."""
+def fit(rows: DataFrame, features: list[str], kind: str, params: dict, counts: dict[int, int] | None = None) -> PipelineModel | float:
+    """A model of ``kind`` on all ``rows``; the dummy is the larger class. ``counts`` of the labels save a pass."""
+    counts = counts or label_counts(rows)
     if kind == "dummy_majority":
-        return float(rows.groupBy("label").count().orderBy(F.desc("count"), "label").first().label)
-    weighted, n = _weighted(rows, params.get("weight")), rows.count()
+        return float(min(counts, key=lambda y: (-counts[y], y)))
+    weighted, n = _weighted(rows, params.get("weight"), counts), sum(counts.values())
     gather = VectorAssembler(inputCols=features, outputCol="x")
     if kind == "decision_tree":
         tree = DecisionTreeClassifier(featuresCol="x", maxDepth=params["depth"], minInstancesPerNode=params["leaf"], weightCol="w", maxBins=max(32, min(n, 1024)), seed=SEED)
@@ -85,15 +92,27 @@ def predict(model: PipelineModel | float, rows: DataFrame) -> DataFrame:
     return out.withColumn("p_pass", vector_to_array("probability")[1]).select(*rows.columns, "prediction", "p_pass")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], kind: str, params: dict, n: int) -> DataFrame:
-    """Predictions of each fold by a model fitted on the others."""
-    parts = [predict(fit(rows.where(F.col("fold") != k), features, kind, params), rows.where(F.col("fold") == k)) for k in range(n)]
+def out_of_fold(rows: DataFrame, features: list[str], kind: str, params: dict, n: int, counts: dict[tuple[int, int], int] | None = None) -> DataFrame:
+    """Predictions of each fold by a model fitted on the others; ``counts`` of rows by fold and label save passes."""
+    parts = []
+    for k in range(n):
+        others = {y: sum(c for (f, z), c in counts.items() if f != k and z == y) for y in (0, 1)} if counts else None
+        parts.append(predict(fit(rows.where(F.col("fold") != k), features, kind, params, others), rows.where(F.col("fold") == k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def out_of_fold_confusion(rows: DataFrame, features: list[str], kind: str, params: dict) -> DataFrame:
+    """One row: confusion counts and rates (:func:`evaluation.confusion`) of predictions that no row's own model made."""
+    from veldra.operators.evaluation import confusion
+
+    n = label_counts(rows)
+    folds = fold_count(n.get(1, 0), n.get(0, 0))
+    return confusion(out_of_fold(stratified_folds(rows, folds), features, kind, params, folds))
+
+
 @dataclass
 class Bench:
     """The winner of a kind's grid with its cross-validated metrics and importances."""
@@ -115,21 +134,30 @@ def importances(model: PipelineModel | float, features: list[str]) -> list[tuple
     return sorted(zip(features, map(float, values), strict=True), key=lambda x: -x[1])
 
 
-def bench(rows: DataFrame, features: list[str], kinds: dict | None = None) -> list[Bench]:
-    """Every kind's best grid point by balanced accuracy, best kind first; ``rows(id, label, <features>)``."""
-    counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    n = fold_count(counts.get(1, 0), counts.get(0, 0))
-    dealt = stratified_folds(rows, n).cache()
+def bench(rows: DataFrame, features: list[str], kinds: dict | None = None, threads: int = THREADS) -> list[Bench]:
+    """Every kind's best grid point by balanced accuracy, best kind first; ``rows(id, label, <features>)``.
+
+    Fits are many and small: the rows stand in one cached partition and grid points are tried side by side.
+    """
+    n = label_counts(rows)
+    folds = fold_count(n.get(1, 0), n.get(0, 0))
+    dealt = stratified_folds(rows, folds).coalesce(1).cache()
+    counts = {(r.fold, int(r.label)): r["count"] for r in dealt.groupBy("fold", "label").count().collect()}  # two rows a fold
+
+    def tried(point: tuple[str, int, dict]) -> tuple:
+        kind, place, params = point
+        s = fold_summary(metrics(out_of_fold(dealt, features, kind, params, folds, counts), ["fold"]), []).first().asDict()
+        return kind, s["cv_mean_balanced_accuracy"], -place, params, s
+
+    grids = kinds or GRIDS
+    with ThreadPool(threads) as pool:
+        scores = pool.map(tried, [(kind, i, params) for kind, grid in grids.items() for i, params in enumerate(grid)], chunksize=1)
     out = []
-    for kind, grid in (kinds or GRIDS).items():
-        tried = []
-        for params in grid:
-            s = fold_summary(metrics(out_of_fold(dealt, features, kind, params, n), ["fold"]), []).first().asDict()
-            tried.append((s["cv_mean_balanced_accuracy"], -len(tried), params, s))
-        _, _, params, scores = max(tried, key=lambda t: t[:2])
-        final = fit(dealt, features, kind, params)
+    for kind, grid in grids.items():
+        _, _, _, params, best = max((t for t in scores if t[0] == kind), key=lambda t: t[1:3])
+        final = fit(dealt, features, kind, params, n)
         text = final.stages[-1].toDebugString if kind == "decision_tree" else ""
-        out.append(Bench(kind, len(grid), params, scores, importances(final, features), text))
+        out.append(Bench(kind, len(grid), params, best, importances(final, features), text))
     dealt.unpersist()
     return sorted(out, key=lambda b: (-b.scores["cv_mean_balanced_accuracy"], -b.scores["cv_mean_accuracy"]))
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldra.sources.stores import write_text
+
 _FEATURE = "name string, importance double"
 _MODEL = (
     "name string, cv_mean_accuracy double, cv_std_accuracy double, cv_mean_balanced_accuracy double, cv_std_balanced_accuracy double, cv_mean_f1 double, "
@@ -30,6 +32,13 @@ def report(method: str, benches: list, n_pass: int, n_fail: int, features: list[
     return json.dumps(head | {"best_model": benches[0].name, "models": models})
 
 
+def write_report(spark: SparkSession, folder: str, method: str, text: str) -> str:
+    """Put a report in its place in ``folder``, over an older one; its path."""
+    path = f"{folder}/classifier_{method}_report.json"
+    write_text(spark, path, text)
+    return path
+
+
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Reports of a folder with ``method`` by file name; what is no object is passed over."""
     found = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "classifier_*_report.json").json(folder)

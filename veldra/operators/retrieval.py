@@ -6,19 +6,20 @@ A corpus is ``(idx, text, ...)`` with ``vector`` where dense retrieval is asked
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldra.functions import text as tx
 from veldra.functions import vectors as vx
+from veldra.sources.stores import reuse_or_build, staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Question vectors scored in one pass over the corpus.
-QUESTION_BLOCK = 2048
+#: Question vectors and corpus vectors that meet in one product: scores of some 130 MB.
+QUESTION_BLOCK, CORPUS_PART = 1024, 16_384
 
 
 def rank_within(df: DataFrame, by: str | list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -30,74 +31,83 @@ def rank_within(df: DataFrame, by: str | list[str], order: list[Column], k: int
 def dense_topk(corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """``(qid, idx, similarity, rank)``: the ``k`` chunks of largest cosine for each question.
 
-    Questions are taken in blocks that fit any task; each batch of the corpus keeps its own ``k`` best of
-    a block by one matrix product, so what is shuffled is ``k`` rows for each batch and question, and the
-    corpus is read once for each block. Ties go to the smaller ``idx``; ``k`` may exceed the corpus.
+    The corpus is dealt to parts and the questions to blocks; each part meets each block once, and a matrix
+    product of the two keeps ``k`` rows a question, so the shuffle behind it carries ``k`` rows for each part
+    and question. Vectors meet only vectors of their own length. Ties go to the smaller ``idx``; ``k`` may
+    exceed the corpus.
     """
-    out = None
-    block: list = []
-    rows = questions.where("vector IS NOT NULL").select("qid", vx.normalize(F.col("vector")).alias("v"))
-    for row in rows.toLocalIterator():
-        block.append(row)
-        if len(block) == QUESTION_BLOCK:
-            out, block = _union(out, _dense_block(corpus, block, k)), []
-    out = _union(out, _dense_block(corpus, block, k)) if block or out is None else out
-    return rank_within(out, "qid", [F.desc("similarity"), F.asc("idx")], k)
-
-
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
-
-
-def _dense_block(corpus: DataFrame, block: list, k: int) -> DataFrame:
-    qids = [r.qid for r in block]
-    matrix = np.array([r.v for r in block], dtype=np.float64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            idx = batch.column(0).to_numpy()
-            m = batch.column(1).flatten().to_numpy().reshape(len(idx), -1)
-            length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            score = (m / np.where(length == 0, 1.0, length)) @ matrix.T
-            best = np.lexsort((np.broadcast_to(idx[:, None], score.shape), -score), axis=0)[:k]
-            column = np.broadcast_to(np.arange(len(qids)), best.shape)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([qids[j] for j in column.ravel()], pa.int64()), pa.array(idx[best].ravel()), pa.array(score[best, column].ravel())], ["qid", "idx", "similarity"]
-            )
-
-    vectors = corpus.where("vector IS NOT NULL AND idx IS NOT NULL").select(F.col("idx").cast("long"), vx.doubles(F.col("vector")).alias("vector"))
-    return vectors.mapInArrow(run, "qid long, idx long, similarity double")
+    vectors = corpus.where("vector IS NOT NULL AND idx IS NOT NULL").select(F.col("idx").cast("long").alias("idx"), vx.doubles(F.col("vector")).alias("v"))
+    asked = questions.where("vector IS NOT NULL").select("qid", vx.normalize(F.col("vector")).alias("v"))
+    parts, blocks = (-(-df.count() // size) or 1 for df, size in ((vectors, CORPUS_PART), (asked, QUESTION_BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("idx"), F.lit(parts)).cast("int").alias("part"), every(blocks).alias("block"), "idx", "v")
+    wanted = asked.select(F.size("v").alias("dim"), every(parts).alias("part"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), "qid", "v")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": [], "idx": [], "similarity": []})
+        idx, qid = left["idx"].to_numpy(), right["qid"].to_numpy()
+        m, q = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        score = q @ (m / np.where(length == 0, 1.0, length)).T
+        if len(idx) > 4 * k:  # what may tie with the k-th stays in
+            least = np.partition(score, -k, axis=1)[:, -k]
+            row, column = np.nonzero(score >= least[:, None])
+        else:
+            row, column = (x.ravel() for x in np.indices(score.shape))
+        order = np.lexsort((idx[column], -score[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, column = row[place < k], column[place < k]
+        return pd.DataFrame({"qid": qid[row], "idx": idx[column], "similarity": score[row, column]})
+
+    keys = ["dim", "part", "block"]
+    kind = f"qid {questions.schema['qid'].dataType.simpleString()}, idx long, similarity double"
+    near = held.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(best, kind)
+    return rank_within(near, "qid", [F.desc("similarity"), F.asc("idx")], k)
+
+
+@dataclass
+class Index:
+    """An inverted index: ``postings(token, idx, dl, tf)`` as a table, the number of chunks and their mean length."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """``(token, idx, tf, dl)`` for each distinct token of each chunk."""
+    """``(token, idx, dl, tf)``: tokens exploded, then counted before they are shuffled."""
     split = corpus.select("idx", tx.tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     return split.select("idx", "dl", F.explode("t").alias("token")).groupBy("token", "idx", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(corpus: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length in tokens."""
-    return corpus.select(F.size(tx.tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def build_index(corpus: DataFrame, path: str | None = None, force: bool = False) -> Index:
+    """The index of ``corpus(idx, text)``: texts are tokenised once. A ``path`` keeps it, and an index kept there is reused."""
+    posted = reuse_or_build(corpus.sparkSession, path, lambda: postings(corpus), force) if path else staged(postings(corpus), "postings")
+    n = corpus.count()
+    total = posted.agg(F.sum("tf").alias("t")).first().t or 0
+    return Index(posted, n, total / n if n else 0.0)
 
 
-def idf_table(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def idf_table(index: Index) -> DataFrame:
     """``(token, df, idf)``: Okapi idf, negative values replaced by a quarter of the mean over the vocabulary."""
-    df = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(stats.select("n")), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.withColumn("raw", F.log(F.lit(index.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     return raw.join(F.broadcast(floor), F.lit(True)).select("token", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(corpus: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(qid, idx, bm25_score)`` for chunks that share a token with the question; repeated question tokens count each time."""
-    posted, stats = postings(corpus), corpus_stats(corpus)
+def bm25_scores(index: Index, questions: DataFrame) -> DataFrame:
+    """``(qid, idx, bm25_score)`` for chunks that share a token with the question; repeated question tokens count each time.
+
+    Both sides of the join with the postings come from tables, so the rows of a common token can be split.
+    """
     asked = questions.select("qid", F.explode(tx.tokens(F.col("question"))).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = asked.join(idf_table(posted, stats), "token")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    return weighed.join(posted, "token").join(F.broadcast(stats.select("avgdl")), F.lit(True)).groupBy("qid", "idx").agg(F.sum(part).alias("bm25_score"))
+    weighed = staged(asked.join(idf_table(index), "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("weight")), "asked")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl)
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / norm
+    return weighed.join(index.postings, "token").groupBy("qid", "idx").agg(F.sum(part).alias("bm25_score"))
 
 
 def bm25_topk(scores: DataFrame, corpus: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -128,9 +138,9 @@ def similarities(pairs: DataFrame, corpus: DataFrame, questions: DataFrame) -> D
     return pairs.join(c, "idx").join(q, "qid").withColumn("similarity", vx.dot(F.col("__cv"), F.col("__qv"))).drop("__cv", "__qv")
 
 
-def hybrid(corpus: DataFrame, questions: DataFrame, pool: int = 30, k: int = 12, rrf_k: int = 60) -> DataFrame:
+def hybrid(corpus: DataFrame, questions: DataFrame, pool: int = 30, k: int = 12, rrf_k: int = 60, index: Index | None = None) -> DataFrame:
     """``(qid, rank, idx, similarity, bm25_score, dense_rank, bm25_rank, rrf_score)`` of the fused pools."""
-    scores = bm25_scores(corpus, questions)
+    scores = staged(bm25_scores(index or build_index(corpus), questions), "scores")
     fused = fuse(dense_topk(corpus, questions, pool), bm25_topk(scores, corpus, questions, pool), k, rrf_k)
     hits = similarities(fused, corpus, questions).join(scores, ["qid", "idx"], "left")
     return hits.select("qid", "rank", "idx", "similarity", F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "dense_rank", "bm25_rank", "rrf_score")

@@ -15,6 +15,7 @@ from veldra.functions import vectors as vx
 from veldra.operators import chunking, evaluation, expansion, graph, methods, models, reports, sections, signals
 from veldra.operators import retrieval as rt
 from veldra.plans.sql import ORACLE_SQL  # noqa: F401
+from veldra.sources.stores import staged
 
 R = 6
 
@@ -64,10 +65,6 @@ def dense_topk_batch(spark, d):
     return _round(rt.dense_topk(_vectors(spark, d), _questions(spark, d), 5))
 
 
-def dense_topk(spark, d):
-    return _round(rt.dense_topk(_vectors(spark, d), _questions(spark, d).where("qid = 0"), 5))
-
-
 def vector_norms(spark, d):
     n = vx.norm(F.col("vector"))
     v = vx.normalize(F.col("vector"))
@@ -121,13 +118,12 @@ def paragraph_pack(spark, d):
 
 
 def bm25_idf(spark, d):
-    corpus = _corpus(spark, d)
-    return _round(rt.idf_table(rt.postings(corpus), rt.corpus_stats(corpus)))
+    return _round(rt.idf_table(rt.build_index(_corpus(spark, d))))
 
 
 def bm25_topk(spark, d):
     corpus, questions = _corpus(spark, d), _questions(spark, d)
-    return _round(rt.bm25_topk(rt.bm25_scores(corpus, questions), corpus, questions, 30), 5)
+    return _round(rt.bm25_topk(staged(rt.bm25_scores(rt.build_index(corpus), questions), "scores"), corpus, questions, 30), 5)
 
 
 def rrf_hybrid(spark, d):
@@ -167,8 +163,10 @@ def graph_adjacency(spark, d):
 
 
 def graph_expand(spark, d):
+    """Two seeds a question, over the whole range of chunks."""
     chunks = _chunks(spark, d)
-    seeds = _questions(spark, d).select("qid", F.explode(F.array(F.struct((F.col("qid") * 7 % 200).alias("idx"), F.lit(0).alias("ord")), F.struct(((F.col("qid") * 7 + 11) % 200).alias("idx"), F.lit(1).alias("ord")))).alias("s")).select("qid", "s.*")
+    n = max(1, chunks.count())
+    seeds = _questions(spark, d).select("qid", F.explode(F.array(F.struct((F.col("qid") * 7 % n).alias("idx"), F.lit(0).alias("ord")), F.struct(((F.col("qid") * 7 + 11) % n).alias("idx"), F.lit(1).alias("ord")))).alias("s")).select("qid", "s.*")
     return graph.expand(seeds, graph.adjacency(graph.edges(chunks)))
 
 
@@ -216,7 +214,7 @@ def _part_files(spark, d):
 
 
 def keyword_promote(spark, d):
-    return expansion.promote_keywords(_part_files(spark, d), ["Steel", " ", "copper"]).select("path")
+    return expansion.promote_keywords(_part_files(spark, d), ["Promo", " ", "economy"]).select("path")
 
 
 def dir_promote(spark, d):
@@ -224,7 +222,7 @@ def dir_promote(spark, d):
 
 
 def anchor_files(spark, d):
-    asked = _read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.array(F.lit("polished"), F.lit("anodized"), F.lit("steel"), F.lit("promo"), F.lit("economy")).alias("all"))
+    asked = _read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("qid"), F.array(*[F.lit(a) for a in ("html", "promo", "economy", "standard", "medium")]).alias("all"))
     asked = asked.select("qid", F.slice("all", F.lit(1), (F.col("qid") + 1).cast("int")).alias("anchors"))
     return expansion.promote_failures(asked, _part_files(spark, d), least=2, limit=5)
 
@@ -241,7 +239,7 @@ def not_indexed(spark, d):
 
 def selection_union(spark, d):
     files = _part_files(spark, d)
-    return expansion.union_selections(expansion.promote_keywords(files, ["steel"]), expansion.promote_folders(files, ["blue"]))
+    return expansion.union_selections(expansion.promote_keywords(files, ["economy"]), expansion.promote_folders(files, ["blue"]))
 
 
 def _results(spark, d):
@@ -374,7 +372,7 @@ def report_summary(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, dense_topk_batch, vector_norms, tokenize_counts, content_words, rare_terms, numeric_tokens, window_chunks, chunk_numbers,
+        dense_topk_batch, vector_norms, tokenize_counts, content_words, rare_terms, numeric_tokens, window_chunks, chunk_numbers,
         next_chunk_numbers, embedding_preflight, paragraph_pack, bm25_idf, bm25_topk, rrf_hybrid, context_build, query_rewrite, graph_edges,
         graph_edge_counts, graph_adjacency, graph_expand, graph_retrieve, hybrid_graph_retrieve, fingerprint, fingerprint_dense, sanitize_paths,
         case_rescue, corpus_filter, keyword_promote, dir_promote, anchor_files, question_anchors, not_indexed, selection_union, tier_accuracy,

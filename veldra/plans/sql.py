@@ -53,16 +53,17 @@ def _top(source: str, score: str, k: int, by: str = "qid", tie: str = "idx") ->
 
 def _bm25(corpus: str) -> str:
     """CTEs post, stats, idf and bm (scores) over ``corpus(idx, text)``."""
-    return f"""tok AS (SELECT idx, {_tokens('text')} AS t FROM {corpus}),
+    return f"""tok AS MATERIALIZED (SELECT idx, {_tokens('text')} AS t FROM {corpus}),
 w AS (SELECT idx, len(t) AS dl, unnest(t) AS token FROM tok),
-post AS (SELECT token, idx, dl, count(*) AS tf FROM w GROUP BY ALL),
-stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-raw AS (SELECT token, count(*) AS df, ln((SELECT n FROM stats) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY token),
-idf AS (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
+post AS MATERIALIZED (SELECT token, idx, dl, count(*) AS tf FROM w GROUP BY ALL),
+stats AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+raw AS MATERIALIZED (SELECT token, count(*) AS df, ln((SELECT n FROM stats) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY token),
+idf AS MATERIALIZED (SELECT token, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT qid, token, count(*) AS qtf FROM (SELECT qid, unnest({_tokens('question')}) AS token FROM q) GROUP BY ALL),
-bm AS (SELECT qid, idx, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM stats)))) AS bm25_score
+bm AS MATERIALIZED (SELECT qid, idx, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM stats)))) AS bm25_score
        FROM qt JOIN idf USING (token) JOIN post USING (token) GROUP BY ALL),
-pool AS (SELECT q.qid, x.idx, round(coalesce(bm25_score, 0), 9) AS bm25_score FROM q CROSS JOIN {corpus} x LEFT JOIN bm ON bm.qid = q.qid AND bm.idx = x.idx)"""
+pool AS (SELECT qid, idx, round(bm25_score, 9) AS bm25_score FROM bm
+         UNION ALL SELECT q.qid, f.idx, 0.0 FROM q, (SELECT idx FROM {corpus} ORDER BY idx LIMIT 60) f ANTI JOIN bm ON bm.qid = q.qid AND bm.idx = f.idx)"""
 
 
 _EDGES = """pos AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY idx) AS pos, row_number() OVER (PARTITION BY source_file, chapter ORDER BY idx) AS cpos FROM nodes),
@@ -178,7 +179,6 @@ _BLUE = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
     "dense_topk_batch": f"WITH {_QUESTIONS}, s AS (SELECT qid, vec_id AS idx, list_dot_product({_unit('embedding')}, qv) AS similarity FROM q, embeddings), t AS ({_top('s', 'similarity', 5)}) SELECT qid, idx, round(similarity, 6) AS similarity, rank FROM t",
-    "dense_topk": f"WITH {_QUESTIONS}, s AS (SELECT qid, vec_id AS idx, list_dot_product({_unit('embedding')}, qv) AS similarity FROM q, embeddings WHERE qid = 0), t AS ({_top('s', 'similarity', 5)}) SELECT qid, idx, round(similarity, 6) AS similarity, rank FROM t",
     "vector_norms": f"WITH u AS (SELECT vec_id AS idx, embedding AS e, {_unit('embedding')} AS v FROM embeddings) SELECT idx, round(sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])), 6) AS norm, round(sqrt(list_dot_product(v, v)), 6) AS unit, round(v[1], 6) AS first FROM u",
     "tokenize_counts": f"WITH t AS (SELECT doc_id AS idx, {_tokens('text')} AS t FROM documents) SELECT idx, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM t",
     "content_words": f"WITH t AS (SELECT doc_id AS idx, {_content('text')} AS w FROM documents) SELECT idx, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(list_sort(w), ' ')) AS digest FROM t",
@@ -205,7 +205,7 @@ SELECT qid, length(ctx) AS n_chars, md5(ctx) AS digest FROM x""",
     "graph_edges": f"WITH {_TALKS}, {_EDGES} SELECT src, dst, etype, count(*) AS n FROM edge GROUP BY ALL",
     "graph_edge_counts": f"WITH {_TALKS}, {_EDGES} SELECT etype, CAST(count(*) // 2 AS BIGINT) AS edges FROM edge GROUP BY etype",
     "graph_adjacency": f"WITH {_CHUNKS}, {_NODES}, {_EDGES} SELECT src, dst, etype, rn FROM adj",
-    "graph_expand": f"WITH {_QUESTIONS}, {_CHUNKS}, {_NODES}, {_EDGES}, seeds AS (SELECT qid, qid * 7 % 200 AS idx, 0 AS ord FROM q UNION ALL SELECT qid, (qid * 7 + 11) % 200, 1 FROM q), {_EXPAND} SELECT qid, idx, distance, edge, seed FROM reach",
+    "graph_expand": f"WITH {_QUESTIONS}, {_CHUNKS}, {_NODES}, {_EDGES}, seeds AS (SELECT qid, qid * 7 % (SELECT count(*) FROM c) AS idx, 0 AS ord FROM q UNION ALL SELECT qid, (qid * 7 + 11) % (SELECT count(*) FROM c), 1 FROM q), {_EXPAND} SELECT qid, idx, distance, edge, seed FROM reach",
     "graph_retrieve": f"""WITH {_QUESTIONS}, {_CHUNKS}, {_SIM}, {_NODES}, {_EDGES}, ds AS ({_top('sim', 'similarity', 6)}), seeds AS (SELECT qid, idx, rank AS ord FROM ds), {_EXPAND},
 cand AS (SELECT reach.*, similarity FROM reach JOIN sim ON sim.qid = reach.qid AND sim.idx = reach.idx), t AS ({_top('cand', 'similarity', 12)})
 SELECT qid, rank, idx, round(similarity, 6) AS similarity, distance AS graph_distance, edge AS graph_edge, seed AS graph_seed_origin FROM t""",
@@ -218,15 +218,15 @@ s AS (SELECT pos, array_to_string(list_filter(list_transform(string_split(transl
 i AS (SELECT *, row_number() OVER (PARTITION BY lower(safe) ORDER BY pos) - 1 AS i FROM s)
 SELECT pos, CASE WHEN i > 0 THEN left(safe, length(safe) - 5) || '__case' || i || '.html' ELSE safe END AS stored FROM i""",
     "corpus_filter": "WITH f AS (SELECT p_name AS path, CASE WHEN p_size % 2 = 0 THEN 'finlex' ELSE 'vero' END AS publisher FROM part) SELECT publisher, count(*) AS kept FROM f WHERE publisher <> 'finlex' OR contains(path, 'pale') OR regexp_matches(lower(path), 'blue|steel|almond') GROUP BY publisher",
-    "keyword_promote": f"WITH {_PARTS} SELECT path FROM f WHERE regexp_matches(lower(string_split(path, '/')[-1]), 'steel|copper')",
+    "keyword_promote": f"WITH {_PARTS} SELECT path FROM f WHERE regexp_matches(lower(string_split(path, '/')[-1]), 'promo|economy')",
     "dir_promote": "SELECT url AS path FROM pages WHERE starts_with(url, 'en') OR starts_with(url, 'de/') OR contains(url, '/en') OR contains(url, '/de/')",
-    "anchor_files": rf"""WITH {_PARTS}, a AS (SELECT r_regionkey::BIGINT AS qid, unnest(['polished', 'anodized', 'steel', 'promo', 'economy'][1 : r_regionkey + 1]) AS anchor FROM region WHERE r_regionkey >= 1),
+    "anchor_files": rf"""WITH {_PARTS}, a AS (SELECT r_regionkey::BIGINT AS qid, unnest(['html', 'promo', 'economy', 'standard', 'medium'][1 : r_regionkey + 1]) AS anchor FROM region WHERE r_regionkey >= 1),
 n AS (SELECT path, lower(string_split(path, '/')[-1]) AS name FROM f),
 t AS (SELECT *, list_filter(regexp_split_to_array(name, '[^a-z0-9]+'), lambda x: length(x) >= 4) AS toks FROM n),
 h AS (SELECT qid, path, name, count(DISTINCT anchor) AS hits FROM a JOIN t ON list_contains(toks, anchor) OR name = anchor OR (length(anchor) >= 8 AND contains(name, anchor)) GROUP BY ALL HAVING count(DISTINCT anchor) >= 2)
 SELECT qid, path, hits, CAST(row_number() OVER (PARTITION BY qid ORDER BY hits DESC, length(name), path) AS INT) AS rank FROM h QUALIFY rank <= 5""",
     "not_indexed": "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "selection_union": f"WITH {_PARTS} SELECT DISTINCT path FROM f WHERE regexp_matches(lower(string_split(path, '/')[-1]), 'steel') OR starts_with(path, 'blue') OR contains(path, '/blue')",
+    "selection_union": f"WITH {_PARTS} SELECT DISTINCT path FROM f WHERE regexp_matches(lower(string_split(path, '/')[-1]), 'economy') OR starts_with(path, 'blue') OR contains(path, '/blue')",
     "tier_accuracy": f"WITH {_RESULTS} SELECT tier, count(*) AS total, count(*) FILTER (WHERE passed) AS n_pass, count(*) FILTER (WHERE NOT passed) AS n_fail, round(avg(CAST(passed AS INT)), 6) AS accuracy FROM r GROUP BY tier",
     "overall_accuracy": f"WITH {_RESULTS} SELECT count(*) AS total, count(*) FILTER (WHERE passed) AS n_pass, count(*) FILTER (WHERE NOT passed) AS n_fail, round(avg(CAST(passed AS INT)), 6) AS accuracy FROM r",
     "running_accuracy": f"WITH {_RESULTS}, w AS (SELECT method, id, CAST(sum(CAST(passed AS INT)) OVER o AS BIGINT) AS n_pass, count(*) OVER o AS n FROM r WINDOW o AS (PARTITION BY method ORDER BY id ROWS UNBOUNDED PRECEDING)) SELECT method, id, n_pass, round(n_pass / n, 6) AS accuracy FROM w",
