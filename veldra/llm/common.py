@@ -81,6 +81,39 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of whole texts that stand in memory together: in a batch of a scan, and in one sent to a Python worker.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of :data:`BATCH_ROWS` in this session, where it still has Spark's defaults: texts are long rows."""
+    for key, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096")):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, str(BATCH_ROWS))
+
+
+#: Bits of a filter over keys; a fixed 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def key_filter(keys: DataFrame, name: str) -> bytes:
+    """A bit for each value of the long column ``name``, by its lowest bits; bytes in order, lowest bit first."""
+    at = F.pmod(F.col(name), F.lit(FILTER_BITS)) + 1  # positions count from 1
+    parts = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in parts.toLocalIterator():
+        at = (r.bucket - 1) * 4096
+        out[at : at + 4096] |= np.frombuffer(r.bits, dtype=np.uint8)
+    return out.tobytes()
+
+
+def may_hold(bits: bytes, key: Column) -> Column:
+    """Whether a key may be among those of :func:`key_filter`; never false for one that is."""
+    at = F.pmod(key, F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
+
+
 @contextlib.contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
@@ -102,6 +135,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     advised size, so a small table is one file and not one for each core.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, tag)
     with _setting(spark, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"):
         df.write.option("compression", "zstd").parquet(path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldra.llm import simhash
-from veldra.llm.common import materialize
+from veldra.llm.common import FILTER_BITS, key_filter, materialize
 from veldra.llm.components import connected_components
 from veldra.llm.simhash import components_of, row_keys, rows_that_stay
 
@@ -77,15 +77,25 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, __v_k1 long, __v_k2 long, fp long, sim long, bands array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(fp, hashes)`` for each row, the set packed."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(fp, hashes)`` for the rows whose keys are ``wanted(__v_k1, __v_k2)``, the set packed.
+
+    A fixed-size filter over the keys picks rows where they are read, so texts are not sent anywhere.
+    """
+    bits = np.frombuffer(key_filter(wanted, "__v_k1"), np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(text.as_py() or b"", width) for text in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["fp", "hashes"])
+            at = batch.column(0).to_numpy() & np.int64(FILTER_BITS - 1)
+            some = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if len(some):
+                kept = batch.take(pa.array(some))
+                made = [shingles(text.as_py() or b"", width) for text in kept.column(2).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*kept.columns[:2], pa.array([_name(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], ["__v_k1", "__v_k2", "fp", "hashes"])
 
-    return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "fp long, hashes binary")
+    rows = docs.select(*row_keys(docs), docs["text"].cast("string").alias("text"))
+    found = rows.mapInArrow(run, "__v_k1 long, __v_k2 long, fp long, hashes binary")
+    return found.join(wanted.hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left_semi").select("fp", "hashes").dropDuplicates(["fp"])
 
 
 def compare(rows: Iterator[tuple[int, int, bytes]], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
@@ -123,9 +133,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, least: float = S
     once = materialize(sized.groupBy("n", "x0", "x1").agg(F.min("band").alias("band")).select("band"), "bands")
     asked = materialize(buckets.join(once, "band").select("band", "fp"), "buckets")
     wanted = reps.join(asked.select("fp"), "fp", "left_semi").select("rep.__v_k1", "rep.__v_k2")
-    k1, k2 = row_keys(docs)
-    texts = docs.withColumns({"__v_k1": k1, "__v_k2": k2}).join(wanted, ["__v_k1", "__v_k2"], "left_semi")
-    sets = materialize(_sets(texts, width).dropDuplicates(["fp"]), "shingle-sets")
+    sets = materialize(_sets(docs, materialize(wanted.distinct(), "wanted"), width), "shingle-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))

@@ -23,15 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import WORD_PATTERN, ascii_lower, kept, materialize, tables
+from veldra.llm.common import FILTER_BITS, WORD_PATTERN, ascii_lower, kept, key_filter, materialize, tables
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Query terms stand in so many documents at least: what stands in one finds nothing else.
 MIN_DF = 2
 #: Documents of a shard, documents of a run (block), queries of a block.
 SHARD, RUN, QUERIES = 8192, 64, 65_536
-#: Bits of the filter over query terms that postings pass before they are sent to shards; a fixed 4 MB.
-FILTER_BITS = 1 << 25
 #: Scores are rounded to so many digits before they are compared, so that ties go by id alone.
 DIGITS = 6
 #: Sums of floats in another order differ by less than this; bounds give way by as much.
@@ -96,17 +94,6 @@ def postings(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, dl long, tids binary, tfs binary")
 
 
-def term_filter(terms: DataFrame) -> np.ndarray:
-    """A bit array over the ids ``tid`` of terms: 4 MB at most come to the driver, whatever the number of terms."""
-    at = F.pmod("tid", F.lit(FILTER_BITS)) + 1  # positions count from 1
-    parts = terms.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        at = (r.bucket - 1) * 4096
-        out[at : at + 4096] |= np.frombuffer(r.bits, dtype=np.uint8)
-    return out
-
-
 class Shard:
     """The inverted index of one shard: postings by term in document order, block maxima by run of documents."""
 
@@ -266,7 +253,7 @@ def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int
         asked, seed = queries_of(rows, df, total.n, every, terms)
         bags = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "weight"))).alias("bag"))
         bags = kept(bags.select("query_id", F.col("bag.tid").alias("tid"), F.col("bag.weight").alias("weight")), "queries")
-        wanted = term_filter(bags.select(F.explode("tid").alias("tid")))
+        wanted = np.frombuffer(key_filter(bags.select(F.explode("tid").alias("tid")), "tid"), dtype=np.uint8)
     mean = max(float(total.words or 0), 1.0) / max(total.n, 1)
     shards = -(-total.n // SHARD) or 1
     blocks = -(-bags.count() // QUERIES) or 1

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import bucket_count, materialize, row_key
+from veldra.llm.common import bucket_count, key_filter, materialize, may_hold, row_key
 from veldra.llm.components import connected_components
 
 RADIUS, WIDTH, SEED = 2, 3, 42
@@ -323,10 +323,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def rows_that_stay(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``found`` marks, one of those that repeat; keys are hashed and texts stream past them."""
-    keep = materialize(found.where("stays").groupBy("__v_k1", "__v_k2").agg(F.count(F.lit(1)).alias("__v_n")), "staying")
+    """The rows of ``docs`` that ``found`` marks, one of those that repeat.
+
+    Rows that a fixed-size filter over the keys of all that go lets pass stay where they are; only the others
+    are sent to a join, which hashes keys and lets texts stream past them.
+    """
+    marks = found.groupBy("__v_k1", "__v_k2").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = materialize(marks.where("NOT stays OR n > 1"), "marks")
+    bits = key_filter(marks, "__v_k1")
     k1, k2 = row_keys(docs)
-    rows = docs.withColumns({"__v_k1": k1, "__v_k2": k2}).join(keep.drop("__v_n").hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left_semi")
-    if keep.where("__v_n > 1").head():
-        rows = rows.dropDuplicates(["__v_k1", "__v_k2"])
-    return rows.select(*docs.columns)
+    rows = docs.withColumns({"__v_k1": k1, "__v_k2": k2})
+    may_go = may_hold(bits, F.col("__v_k1"))
+    doubtful = rows.where(may_go).join(marks.where("NOT stays").select("__v_k1", "__v_k2").hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left_anti")
+    if marks.where("stays").head():
+        doubtful = doubtful.dropDuplicates(["__v_k1", "__v_k2"])
+    return rows.where(~may_go).select(*docs.columns).union(doubtful.select(*docs.columns))

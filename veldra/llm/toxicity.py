@@ -12,6 +12,7 @@ weight, and a few shares that describe the text as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldra.llm.common import kept, release, slices
+from veldra.llm.common import kept, release, slices, small_batches
 
 CATEGORIES = ("low_quality", "toxic")
 #: The chain is fitted on so many labelled rows at most, the first in the order of ``xxhash64(doc_id)``, and on
@@ -129,19 +130,20 @@ class Forms:
     """Which forms each training text holds, so that any subset of texts can choose among them."""
 
     def __init__(self, texts: list[str]) -> None:
+        # Most forms stand in one text or two: a first pass counts them by hash, and only the others get names.
+        often = np.zeros(1 << 22, np.uint16)
+        slot = lambda f: xxhash.xxh64_intdigest(f) & (len(often) - 1)
+        held = lambda text: {f for w in {w.lower() for w in _words(text)} for f in forms(w)}
+        for text in texts:
+            often[np.unique(np.fromiter(map(slot, held(text)), np.int64))] += 1
         known: dict[str, int] = {}
-        of_word: dict[str, list[int]] = {}
-        docs, ids = [], []
+        docs, ids = array("I"), array("I")
         for i, text in enumerate(texts):
-            held = set()
-            for word in {w.lower() for w in _words(text)}:
-                got = of_word.get(word)
-                if got is None:
-                    got = of_word[word] = [known.setdefault(f, len(known)) for f in forms(word)]
-                held.update(got)
-            ids.extend(held)
-            docs.extend([i] * len(held))
-        self.names, self.doc, self.form = list(known), np.array(docs, dtype=np.int64), np.array(ids, dtype=np.int64)
+            mine = [known.setdefault(f, len(known)) for f in held(text) if f in known or often[slot(f)] >= MIN_TEXTS]
+            ids.extend(mine)
+            docs.extend([i] * len(mine))
+        self.names = list(known)
+        self.doc, self.form = np.frombuffer(docs, np.uint32), np.frombuffer(ids, np.uint32)
 
     def select(self, among: np.ndarray, y: np.ndarray, limit: int) -> list[str]:
         """The forms whose share of the texts ``among`` differs most between the labels ``y``, by G.
@@ -149,7 +151,7 @@ class Forms:
         Of beginnings of one another with equal counts one is kept. Other texts' labels play no part.
         """
         use = among[self.doc]
-        label, form, m = y[self.doc[use]] == 1, self.form[use], len(self.names)
+        label, form, m = y[self.doc[use]] == 1, self.form[use].astype(np.int64), len(self.names)
         a, b = np.bincount(form[label], minlength=m).astype(float), np.bincount(form[~label], minlength=m).astype(float)
         n0, n1 = max(1, int((y[among] == 0).sum())), max(1, int((y[among] == 1).sum()))
         some = np.flatnonzero((a > 0) & (a + b >= MIN_TEXTS))
@@ -250,6 +252,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     """
     made = ["p_low_quality", "p_toxic", "toxic"]
     rows = docs.drop(*[c for c in docs.columns if c in made])
+    small_batches(docs.sparkSession)
     keys, texts, y = labelled_sample(docs, labels, sample)
     chain = fit_chain(keys, texts, y)
     known = bool(keys)
