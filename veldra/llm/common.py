@@ -96,22 +96,31 @@ def small_batches(spark: SparkSession) -> None:
 FILTER_BITS = 1 << 25
 
 
-def key_filter(keys: DataFrame, name: str) -> bytes:
-    """A bit for each value of the long column ``name``, by its lowest bits; bytes in order, lowest bit first."""
+def key_bitmaps(keys: DataFrame, name: str) -> DataFrame:
+    """``(__v_bucket, __v_bits)``: the filter over the long column ``name`` in up to 1,024 bitmaps of 4 kB."""
     at = F.pmod(F.col(name), F.lit(FILTER_BITS)) + 1  # positions count from 1
-    parts = keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__v_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__v_bits"))
+
+
+def key_filter(keys: DataFrame, name: str) -> np.ndarray:
+    """The filter's bytes for Python workers, lowest bit first."""
     out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for r in parts.toLocalIterator():
-        at = (r.bucket - 1) * 4096
-        out[at : at + 4096] |= np.frombuffer(r.bits, dtype=np.uint8)
-    return out.tobytes()
+    for r in key_bitmaps(keys, name).toLocalIterator():
+        at = (r["__v_bucket"] - 1) * 4096
+        out[at : at + 4096] |= np.frombuffer(r["__v_bits"], dtype=np.uint8)
+    return out
 
 
-def may_hold(bits: bytes, key: Column) -> Column:
-    """Whether a key may be among those of :func:`key_filter`; never false for one that is."""
-    at = F.pmod(key, F.lit(FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
+def may_hold(rows: DataFrame, bitmaps: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: whether ``key`` may be among the keys of ``bitmaps``; never false for one that is.
+
+    The bitmaps are broadcast, 4 MB at most; a row meets the one that its key would be in.
+    """
+    at = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    with_bits = rows.join(F.broadcast(bitmaps), F.shiftright(at, 15) + 1 == F.col("__v_bucket"), "left")
+    byte = F.substr(F.col("__v_bits"), (F.shiftright(at.bitwiseAND(F.lit(32_767)), 3) + 1).cast("int"), F.lit(1))
+    bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), at.bitwiseAND(F.lit(7)).cast("int"))) != 0
+    return with_bits.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__v_bucket", "__v_bits")
 
 
 @contextlib.contextmanager

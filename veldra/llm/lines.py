@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import ASCII_SPACE, ascii_lower, kept, key_filter, materialize, may_hold, row_key, tables
+from veldra.llm.common import ASCII_SPACE, ascii_lower, kept, key_bitmaps, materialize, may_hold, row_key, tables
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -73,9 +73,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     # Rows that a fixed-size filter over the keys of all that lose lines lets pass stay where they are; for the
     # others positions are hashed and texts stream past them, so no sort holds texts.
     keyed = rows.withColumns({"text": text, "__v_k1": k1, "__v_k2": k2})
-    loses = may_hold(key_filter(gone, "__v_k1"), F.col("__v_k1"))
-    whole = keyed.where(~loses).withColumn("__v_gone", F.lit(None).cast("array<int>"))
-    some = keyed.where(loses).join(gone.hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left")
+    told = may_hold(keyed, kept(key_bitmaps(gone, "__v_k1"), "filter"), "__v_k1", "__v_may")
+    whole = told.where("NOT __v_may").withColumn("__v_gone", F.lit(None).cast("array<int>"))
+    some = told.where("__v_may").join(gone.hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left")
     joined = whole.unionByName(some)
     # The split text is a column of its own: read twice below, it is made once a row.
     loses = F.col("__v_gone").isNotNull()

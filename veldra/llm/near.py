@@ -82,7 +82,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     A fixed-size filter over the keys picks rows where they are read, so texts are not sent anywhere.
     """
-    bits = np.frombuffer(key_filter(wanted, "__v_k1"), np.uint8)
+    bits = key_filter(wanted, "__v_k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

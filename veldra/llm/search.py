@@ -253,7 +253,7 @@ def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int
         asked, seed = queries_of(rows, df, total.n, every, terms)
         bags = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "weight"))).alias("bag"))
         bags = kept(bags.select("query_id", F.col("bag.tid").alias("tid"), F.col("bag.weight").alias("weight")), "queries")
-        wanted = np.frombuffer(key_filter(bags.select(F.explode("tid").alias("tid")), "tid"), dtype=np.uint8)
+        wanted = key_filter(bags.select(F.explode("tid").alias("tid")), "tid")
     mean = max(float(total.words or 0), 1.0) / max(total.n, 1)
     shards = -(-total.n // SHARD) or 1
     blocks = -(-bags.count() // QUERIES) or 1

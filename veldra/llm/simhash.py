@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldra.llm.common import bucket_count, key_filter, materialize, may_hold, row_key
+from veldra.llm.common import bucket_count, key_bitmaps, materialize, may_hold, row_key
 from veldra.llm.components import connected_components
 
 RADIUS, WIDTH, SEED = 2, 3, 42
@@ -330,11 +330,9 @@ def rows_that_stay(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     marks = found.groupBy("__v_k1", "__v_k2").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     marks = materialize(marks.where("NOT stays OR n > 1"), "marks")
-    bits = key_filter(marks, "__v_k1")
     k1, k2 = row_keys(docs)
-    rows = docs.withColumns({"__v_k1": k1, "__v_k2": k2})
-    may_go = may_hold(bits, F.col("__v_k1"))
-    doubtful = rows.where(may_go).join(marks.where("NOT stays").select("__v_k1", "__v_k2").hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left_anti")
+    rows = may_hold(docs.withColumns({"__v_k1": k1, "__v_k2": k2}), materialize(key_bitmaps(marks, "__v_k1"), "filter"), "__v_k1", "__v_may")
+    doubtful = rows.where("__v_may").join(marks.where("NOT stays").select("__v_k1", "__v_k2").hint("shuffle_hash"), ["__v_k1", "__v_k2"], "left_anti")
     if marks.where("stays").head():
         doubtful = doubtful.dropDuplicates(["__v_k1", "__v_k2"])
-    return rows.where(~may_go).select(*docs.columns).union(doubtful.select(*docs.columns))
+    return rows.where("NOT __v_may").select(*docs.columns).union(doubtful.select(*docs.columns))
