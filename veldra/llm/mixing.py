@@ -79,22 +79,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataF
     base = docs.drop(*[c for c in docs.columns if c in made])
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = base.withColumn("size", n_words(F.col("text"))).withColumns({"__v_order": order, "__v_tie": F.xxhash64("text")})
-    slim = materialize(sized.select("source", "size", "__v_order"), "mix-sizes")
-    buckets = bucket_count(slim.count())
+    fine = F.conv(F.substring("__v_order", 1, 4), 16, 10).cast("long")
+    # What follows reads sums by source and 65,536th of the order, never the texts again.
+    sums = materialize(sized.groupBy("source", fine.alias("__v_fine")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("__v_rows")), "mix-sums")
+    buckets = bucket_count(sums.agg(F.sum("__v_rows")).first()[0] or 0)
 
-    def bucket() -> Column:
+    def bucket(place: Column) -> Column:
         # Buckets are ranges of the order, so that prefix sums over them respect it.
-        return F.floor(F.conv(F.substring("__v_order", 1, 4), 16, 10).cast("long") * buckets / 65_536).cast("long")
+        return F.floor(place * buckets / 65_536).cast("long")
 
-    targets = materialize(source_targets(slim, weights, max_repeat), "mix-targets")
-    per = slim.withColumn("__v_bucket", bucket()).groupBy("source", "__v_bucket").agg(F.sum("size").alias("__v_sum"))
+    targets = materialize(source_targets(sums, weights, max_repeat), "mix-targets")
+    per = sums.groupBy("source", bucket(F.col("__v_fine")).alias("__v_bucket")).agg(F.sum("size").alias("__v_sum"))
     before = Window.partitionBy("source").orderBy("__v_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per.withColumn("__v_start", F.coalesce(F.sum("__v_sum").over(before), F.lit(0))).drop("__v_sum")
     starts = starts.withColumnRenamed("source", "__v_source").withColumnRenamed("__v_bucket", "__v_b")
     info = targets.withColumnRenamed("source", "__v_source2")
     starts = materialize(starts.join(info, F.col("__v_source").eqNullSafe(F.col("__v_source2"))).drop("__v_source2"), "mix-starts")
 
-    rows = sized.withColumn("__v_bucket", bucket())
+    rows = sized.withColumn("__v_bucket", bucket(fine))
     within = Window.partitionBy("source", "__v_bucket").orderBy("__v_order", F.col("size").desc(), "__v_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__v_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("__v_source")) & (F.col("__v_bucket") == F.col("__v_b")))
