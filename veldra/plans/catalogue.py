@@ -7,15 +7,17 @@ HTML. What the tables lack (sections, parts, standing) is derived from ids by ru
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldra.functions import text as tx
 from veldra.functions import vectors as vx
-from veldra.operators import chunking, evaluation, expansion, graph, methods, models, reports, sections, signals
+from veldra.operators import chunking, engine, evaluation, expansion, graph, methods, models, reports, sections, signals
 from veldra.operators import retrieval as rt
 from veldra.plans.sql import ORACLE_SQL  # noqa: F401
-from veldra.sources.stores import staged
+from veldra.sources.stores import scratch, staged
 
 R = 6
 
@@ -369,6 +371,38 @@ def report_summary(spark, d):
     return _round(out.select("method", "model", "is_best", "n", "pass_rate", "cv_bal_acc", "delta_bal", "nonzero_count", F.array_join("top_features", ",").alias("top")))
 
 
+def _filtered_parts(spark, d):
+    publisher = F.when(F.col("p_size") % 2 == 0, "finlex").otherwise("vero")
+    return _read(spark, d, "part").select(F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), publisher.alias("publisher"))
+
+
+def corpus_complement(spark, d):
+    return expansion.left_out(_filtered_parts(spark, d), keywords=["7", "13"], always="hot").select("path")
+
+
+def kept_and_total(spark, d):
+    return expansion.kept_and_total(_filtered_parts(spark, d), keywords=["7", "13"], always="hot")
+
+
+def results_with_bank(spark, d):
+    bank = _read(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit(None).cast("int").alias("difficulty"), F.array("text").alias("answer_key_facts"))
+    return evaluation.with_bank(_results(spark, d), bank).select("id", "tier", "passed", F.col("answer_key_facts")[0].alias("question"))
+
+
+def ask(spark, d):
+    """Every question answered over the sections that are nearest, by the offline stand-in for a chat model."""
+    out = engine.Engine(_chunks(spark, d), "section_v1").ask(_questions(spark, d))
+    return out.select("qid", F.size("sources").alias("n_sources"), F.col("sources")[0]["title"].alias("top_title"), F.md5("answer").alias("digest"))
+
+
+def evaluate_bank(spark, d):
+    """Every question evaluated under the hybrid graph method: retrieval, answer and judgement of its facts."""
+    bank = _questions(spark, d).select(F.col("qid").alias("id"), F.lit("basic").alias("tier"), "question", F.col("question").alias("answer"), F.split("question", r"(?<=\.) ").alias("answer_key_facts"), "vector")
+    path = f"{scratch(spark)}/evaluated-{uuid.uuid4().hex}"
+    out = engine.Engine(_chunks(spark, d), "hybrid_graph_section_v1").evaluate(bank, path)
+    return out.select("id", "n_facts_total", "n_facts_passed", "passed", F.size("sources").alias("n_sources"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -378,6 +412,6 @@ QUERIES = {
         case_rescue, corpus_filter, keyword_promote, dir_promote, anchor_files, question_anchors, not_indexed, selection_union, tier_accuracy,
         overall_accuracy, running_accuracy, method_summary, best_method, confusion_metrics, majority_baseline, stratified_folds, fold_metrics,
         resume_antijoin, id_difference, percent_sample, answer_judgement, source_previews, html_text, html_links, section_parse, section_chunks,
-        classifier_bench, report_summary,
+        classifier_bench, report_summary, corpus_complement, kept_and_total, results_with_bank, ask, evaluate_bank,
     )
 }

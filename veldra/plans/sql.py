@@ -252,4 +252,23 @@ SELECT qid, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)
 SELECT qid, rank, source_file AS title, CASE WHEN section_title <> '' THEN section_title ELSE statute_name END AS section, CAST(length(substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 280)) AS INT) AS n_preview FROM t JOIN c USING (idx)""",
     "report_summary": f"""WITH {_RESULTS}, m AS (SELECT method, tier AS model, avg(CAST(passed AS INT)) AS b, count(*) AS n FROM r GROUP BY ALL), pr AS (SELECT method, round(avg(CAST(passed AS INT)), 6) AS pass_rate, CAST(count(*) AS INT) AS n FROM r GROUP BY method)
 SELECT m.method, model, row_number() OVER (PARTITION BY m.method ORDER BY b DESC, model DESC) = 1 AS is_best, pr.n, pass_rate, round(b, 6) AS cv_bal_acc, round(b - 0.5, 6) AS delta_bal, CAST(1 AS INT) AS nonzero_count, 'x' AS top FROM m JOIN pr USING (method)""",
+    "paragraph_pack": rf"""WITH RECURSIVE d AS (SELECT doc_id, len({_tokens('substring(text, 1, 60)')}) AS t,
+  list_transform(list_filter(string_split(text, chr(10)), lambda p: p <> ''), lambda p: len({_tokens('p')})) AS c FROM documents),
+r AS (SELECT doc_id, 0 AS i, 0 AS k, t AS n, '' AS done FROM d
+  UNION ALL SELECT r.doc_id, i + 1, CASE WHEN k > 0 AND n + c[i + 1] > 512 THEN 1 ELSE k + 1 END, CASE WHEN k > 0 AND n + c[i + 1] > 512 THEN t ELSE n END + c[i + 1],
+    CASE WHEN k > 0 AND n + c[i + 1] > 512 THEN done || k || ',' ELSE done END FROM r JOIN d USING (doc_id) WHERE i < len(c))
+SELECT doc_id, done || CASE WHEN k > 0 THEN CAST(k AS VARCHAR) ELSE '' END AS pieces FROM r JOIN d USING (doc_id) WHERE i = len(c)""",
+    "answer_judgement": rf"""WITH a AS (SELECT documents.doc_id AS id, lang AS tier, text, string_split(text, chr(10)) AS facts, {_content('text')} AS words, {_numbers('text')} AS numbers
+  FROM documents JOIN labels ON labels.doc_id = documents.doc_id),
+f AS (SELECT id, words, numbers, unnest(facts) AS fact FROM a),
+k AS (SELECT id, words, numbers, {_content('fact')} AS fw, {_numbers('fact')} AS fn FROM f),
+g AS (SELECT id, len(list_filter(fn, lambda x: NOT list_contains(numbers, x))) = 0 AND CASE WHEN len(fw) = 0 THEN 0 ELSE len(list_filter(fw, lambda x: list_contains(words, x))) / len(fw) END >= 0.6 AS good FROM k),
+n AS (SELECT id, count(*) AS total, count(*) FILTER (WHERE good) AS good FROM g GROUP BY id)
+SELECT a.id, tier, CAST(total AS INT) AS n_facts_total, CAST(CASE WHEN trim(text) <> '' THEN good ELSE 0 END AS INT) AS n_facts_passed, trim(text) <> '' AND good = total AS passed FROM a JOIN n USING (id)""",
+    "corpus_complement": "WITH f AS (SELECT p_name || '/' || p_partkey AS path, CASE WHEN p_size % 2 = 0 THEN 'finlex' ELSE 'vero' END AS publisher FROM part) SELECT path FROM f WHERE publisher = 'finlex' AND NOT contains(path, 'hot') AND NOT regexp_matches(lower(string_split(path, '/')[-1]), '7|13')",
+    "kept_and_total": "WITH f AS (SELECT p_name || '/' || p_partkey AS path, CASE WHEN p_size % 2 = 0 THEN 'finlex' ELSE 'vero' END AS publisher FROM part) SELECT publisher, count(*) FILTER (WHERE publisher <> 'finlex' OR contains(path, 'hot') OR regexp_matches(lower(string_split(path, '/')[-1]), '7|13')) AS kept, count(*) AS total FROM f GROUP BY publisher",
+    "results_with_bank": f"WITH {_RESULTS} SELECT id, tier, passed, text AS question FROM r LEFT JOIN benchmark ON item_id = id",
+    "ask": rf"""WITH {_QUESTIONS}, {_CHUNKS}, {_SIM}, t AS ({_top('sim', 'similarity', 12)}),
+x AS (SELECT qid, count(*) AS n_sources, string_agg('[' || text || ']' || chr(10) || '(source: ' || source_file || ')', chr(10) || chr(10) ORDER BY rank) AS context, min(source_file) FILTER (WHERE rank = 0) AS top_title FROM t JOIN c USING (idx) GROUP BY qid)
+SELECT qid, CAST(n_sources AS INT) AS n_sources, top_title, md5(substring(context, 1, 512)) AS digest FROM x""",
 }
