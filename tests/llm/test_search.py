@@ -1,7 +1,10 @@
 """BM25 search against scoring every document, and the shard index against a plain sum."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veldra.llm import queries, search
@@ -78,11 +81,23 @@ def test_queries_have_all_terms(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(100, " ".join(words)), *((i + 1, f"{w} other{i}") for i, w in enumerate(words))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    df = search.document_frequencies(docs)
+    df = search.document_frequencies(docs).where("term IS NOT NULL")
     assert search.queries_of(docs, df, len(rows), 100, None)[0].count() == 60
     assert search.queries_of(docs, df, len(rows), 100, 25)[0].count() == 25
 
 
+def test_counts_of_terms(spark):
+    texts = [" The the\tTHE  end\n", "", "é É e", "\x1cx \x0b y", " "]
+    terms, doc, term, tf = search.counted(pa.array(texts))
+    got = [Counter() for _ in texts]
+    for d, t, n in zip(doc, term, tf, strict=True):
+        got[d][terms[int(t)].as_py().encode()] += int(n)
+    assert got == [Counter(t.encode().lower().split()) for t in texts]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    words = search.document_frequencies(frame).where("term IS NULL").first().df
+    assert words == sum(len(t.encode().split()) for t in texts)
+
+
 def test_odd_rows(spark):
     rows = [(0, "Rare words here"), (1, "rare WORDS here too"), (2, None), (3, ""), (None, "rare words"), (4, "rare " * 30000), (5, "rare words"), (5, "rare words"), (100, None), (200, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS term", "2 AS df")

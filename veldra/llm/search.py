@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldra.llm.common import FILTER_BITS, WORD_PATTERN, ascii_lower, kept, key_filter, materialize, tables
+from veldra.llm.common import FILTER_BITS, WORD_PATTERN, ascii_lower, kept, key_filter, materialize, slices, tables
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Query terms stand in so many documents at least: what stands in one finds nothing else.
@@ -38,26 +39,43 @@ SLACK = 1e-5
 SHORT_LIST = 128
 
 
-def _terms(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """``(terms, doc, term, tf)`` of ``texts`` (no nulls): distinct terms, and for each term of each text its count.
+
+    Pairs are in the order of texts. Each distinct term of the texts is held once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    n = max(1, len(coded.dictionary))
+    pair, tf = np.unique(doc * n + coded.indices.to_numpy(), return_counts=True)
+    doc, term = pair // n, pair % n
+    some = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False)[term] > 0  # splitting leaves empty ends
+    return coded.dictionary, doc[some], term[some], tf[some]
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """``(term, df)``; tasks count a few thousand documents at a time before anything is shuffled."""
+    """``(term, df)``, and the words of all documents as the frequency of a null term; tasks add up before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: dict[str, int] = {}
+        words = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "df"])
+            return pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), words], pa.int64())], ["term", "df"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                for term in set(_terms(text.as_py() or b"")):
-                    counts[term] = counts.get(term, 0) + 1
+            texts = pc.fill_null(batch.column(0), "")
+            for first, last in slices(texts):
+                terms, _, term, tf = counted(texts.slice(first, last - first))
+                words += int(tf.sum())
+                held = np.bincount(term, minlength=len(terms))
+                for t, n in zip(terms.to_pylist(), held.tolist(), strict=True):
+                    if n:
+                        counts[t] = counts.get(t, 0) + n
                 if len(counts) > 400_000:
                     yield out()
-                    counts = {}
+                    counts, words = {}, 0
         yield out()
 
     return docs.select("text").mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
@@ -76,20 +94,19 @@ def postings(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                words = _terms(text.as_py() or b"")
-                tf: dict[bytes, int] = {}
-                for w in words:
-                    tf[w] = tf.get(w, 0) + 1
-                tid = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in tf), dtype=np.uint64, count=len(tf))
+            texts = pc.fill_null(batch.column(1), "")
+            for first, last in slices(texts):
+                terms, doc, term, tf = counted(texts.slice(first, last - first))
+                tid = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in terms.to_pylist()), dtype=np.uint64, count=len(terms))
                 at = tid & np.uint64(FILTER_BITS - 1)
-                kept = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                if kept.any():
-                    for column, value in zip(rows, (i, len(words), tid[kept].tobytes(), np.fromiter(tf.values(), np.uint32, len(tf))[kept].tobytes()), strict=True):
-                        column.append(value)
-            arrays = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary()), pa.array(rows[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "dl", "tids", "tfs"])
+                kept = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)[term]
+                dl = np.bincount(doc, weights=tf, minlength=last - first).astype(np.int64)
+                doc, tids, tfs = doc[kept], tid[term[kept]].tobytes(), tf[kept].astype(np.uint32).tobytes()
+                edge = np.searchsorted(doc, np.arange(last - first + 1))
+                some = np.flatnonzero(np.diff(edge))
+                cut = lambda raw, size: pa.array([raw[size * edge[i] : size * edge[i + 1]] for i in some], pa.binary())  # noqa: B023, E731
+                ids = batch.column(0).slice(first, last - first).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(dl[some]), cut(tids, 8), cut(tfs, 4)], ["doc_id", "dl", "tids", "tfs"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, dl long, tids binary, tfs binary")
 
@@ -247,15 +264,16 @@ def more_like_this(docs: DataFrame, every: int = 100, top: int = TOP, terms: int
     columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
+    n = rows.count()
     with tables():
-        df = materialize(document_frequencies(rows), "frequencies")
-        asked, seed = queries_of(rows, df, total.n, every, terms)
+        found = materialize(document_frequencies(rows), "frequencies")
+        words = found.where("term IS NULL").agg(F.sum("df")).first()[0] or 0
+        asked, seed = queries_of(rows, found.where("term IS NOT NULL"), n, every, terms)
         bags = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "weight"))).alias("bag"))
         bags = kept(bags.select("query_id", F.col("bag.tid").alias("tid"), F.col("bag.weight").alias("weight")), "queries")
         wanted = key_filter(bags.select(F.explode("tid").alias("tid")), "tid")
-    mean = max(float(total.words or 0), 1.0) / max(total.n, 1)
-    shards = -(-total.n // SHARD) or 1
+    mean = max(float(words), 1.0) / max(n, 1)
+    shards = -(-n // SHARD) or 1
     blocks = -(-bags.count() // QUERIES) or 1
 
     found = postings(rows.where("doc_id IS NOT NULL"), wanted, seed)

@@ -150,9 +150,8 @@ class Forms:
 
         Of beginnings of one another with equal counts one is kept. Other texts' labels play no part.
         """
-        use = among[self.doc]
-        label, form, m = y[self.doc[use]] == 1, self.form[use].astype(np.int64), len(self.names)
-        a, b = np.bincount(form[label], minlength=m).astype(float), np.bincount(form[~label], minlength=m).astype(float)
+        use, one, m = among[self.doc], (y == 1)[self.doc], len(self.names)
+        a, b = (np.bincount(self.form[use & side], minlength=m).astype(float) for side in (one, ~one))
         n0, n1 = max(1, int((y[among] == 0).sum())), max(1, int((y[among] == 1).sum()))
         some = np.flatnonzero((a > 0) & (a + b >= MIN_TEXTS))
         a, b = a[some], b[some]
