@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 # The stop list of English and Finnish function words.
 STOPWORDS = sorted(
     set(
-        """
-a an the and or but if of in on at to for from by with as is are was were be been being do does did have has had this
-that these those it its his her their our your my what when where which who whom how why than then so such into about
-between over under any all some no not
-ja on ei se että tai kuin olla ovat oli ovatko mitä mikä miten miksi milloin missä joka jolla jonka jossa jotta kun vai
-vaan mutta kuitenkin myös vielä jo ne tämä tuo voi voiko saa saako tulee pitää olemme olen
-""".split()
+        (
+    "a", "an", "the", "and", "or", "but", "if", "of", "in", "on", "at", "to", "for", "from", "by", "with", "as", "is", "are", "was", "were",
+    "be", "been", "being", "do", "does", "did", "have", "has", "had", "this", "that", "these", "those", "it", "its", "his", "her", "their",
+    "our", "your", "my", "what", "when", "where", "which", "who", "whom", "how", "why", "than", "then", "so", "such", "into", "about",
+    "between", "over", "under", "any", "all", "some", "no", "not", "ja", "on", "ei", "se", "että", "tai", "kuin", "olla", "ovat", "oli",
+    "ovatko", "mitä", "mikä", "miten", "miksi", "milloin", "missä", "joka", "jolla", "jonka", "jossa", "jotta", "kun", "vai", "vaan", "mutta",
+    "kuitenkin", "myös", "vielä", "jo", "ne", "tämä", "tuo", "voi", "voiko", "saa", "saako", "tulee", "pitää", "olemme", "olen",
+)
     )
 )
 # Cue patterns. Word edges are spelled out so that engines agree on accented letters.

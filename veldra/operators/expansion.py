@@ -13,9 +13,16 @@ from veldra.operators.chunking import number_chunks, preflight
 from veldra.sources.stores import back_up, remove, roll_back, staged
 
 # Parts of file names that make a statute relevant, and parts of words that make an anchor.
-KEYWORDS = "vero verotus verosopim tulo lähde arvonlisä ennakkop kirjanpito tilintarkast elinkein avainhenki perintö lahja kiinteistö osinko luovutus palkka eläke".split()
+KEYWORDS = (
+    "vero", "verotus", "verosopim", "tulo", "lähde", "arvonlisä", "ennakkop", "kirjanpito", "tilintarkast", "elinkein", "avainhenki", "perintö", "lahja",
+    "kiinteistö", "osinko", "luovutus", "palkka", "eläke",
+)
 ALWAYS = "tuloverosopim"
-DOMAIN_MARKERS = "vero maksu sopim pidatys pidätys paaoma pääoma elake eläke perinto perintö lahja kiinteist osinko luovutus palkka ennakko paivaraha päiväraha vakuutus sairaanhoito lahde lähde etuus etu yleisradio verotus verotett asunto matka tyel yel ennakkoperin".split()
+DOMAIN_MARKERS = (
+    "vero", "maksu", "sopim", "pidatys", "pidätys", "paaoma", "pääoma", "elake", "eläke", "perinto", "perintö", "lahja", "kiinteist", "osinko",
+    "luovutus", "palkka", "ennakko", "paivaraha", "päiväraha", "vakuutus", "sairaanhoito", "lahde", "lähde", "etuus", "etu", "yleisradio", "verotus",
+    "verotett", "asunto", "matka", "tyel", "yel", "ennakkoperin",
+)
 
 
 def file_name(path: Column) -> Column:

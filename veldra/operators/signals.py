@@ -13,22 +13,22 @@ from veldra.functions import text as tx
 from veldra.functions import vectors as vx
 
 # Feature names in their order.
-BASE_FEATURES = """
-top1_similarity top1_gap top1_dominance std_similarity sim_decay_slope softmax_entropy_norm top3_similarity_mass sim_gini
-chunk_cohesion centroid_concentration max_pairwise_distance max_statute_share statute_switch_rate n_unique_files
-frac_section_number_present total_context_chars question_token_count n_numbers n_conditionals has_statute_ref has_year
-numeric_question numeric_hit_coverage numeric_overlap_ratio statute_ref_alignment confidence_x_focus
-title_token_jaccard_top1 title_token_jaccard_topk title_token_coverage_topk body_content_overlap_top1
-body_content_overlap_topk rare_term_recall near_dup_share statute_diversity_norm superseded_share has_multipart_question
-question_char_count has_currency_amount n_question_marks graph_is_graph_mode graph_seed_share_in_final
-graph_neighbour_share_in_final graph_mean_distance graph_max_distance graph_top1_is_neighbour graph_top1_distance
-graph_unique_seeds_used graph_neighbour_sim_uplift graph_neighbour_sim_share
-""".split()
-HYBRID_FEATURES = """
-bm25_top1_score bm25_score_gap bm25_score_mean_topk rrf_top1_score rrf_top1_gap frac_both_in_topk frac_bm25_only_in_topk
-frac_dense_only_in_topk top1_in_dense_pool top1_in_bm25_pool top1_both_retrievers bm25_rank_mean_topk dense_rank_mean_topk
-query_num_in_top1_chunk
-""".split()
+BASE_FEATURES = (
+    "top1_similarity", "top1_gap", "top1_dominance", "std_similarity", "sim_decay_slope", "softmax_entropy_norm", "top3_similarity_mass",
+    "sim_gini", "chunk_cohesion", "centroid_concentration", "max_pairwise_distance", "max_statute_share", "statute_switch_rate",
+    "n_unique_files", "frac_section_number_present", "total_context_chars", "question_token_count", "n_numbers", "n_conditionals",
+    "has_statute_ref", "has_year", "numeric_question", "numeric_hit_coverage", "numeric_overlap_ratio", "statute_ref_alignment",
+    "confidence_x_focus", "title_token_jaccard_top1", "title_token_jaccard_topk", "title_token_coverage_topk", "body_content_overlap_top1",
+    "body_content_overlap_topk", "rare_term_recall", "near_dup_share", "statute_diversity_norm", "superseded_share", "has_multipart_question",
+    "question_char_count", "has_currency_amount", "n_question_marks", "graph_is_graph_mode", "graph_seed_share_in_final",
+    "graph_neighbour_share_in_final", "graph_mean_distance", "graph_max_distance", "graph_top1_is_neighbour", "graph_top1_distance",
+    "graph_unique_seeds_used", "graph_neighbour_sim_uplift", "graph_neighbour_sim_share",
+)
+HYBRID_FEATURES = (
+    "bm25_top1_score", "bm25_score_gap", "bm25_score_mean_topk", "rrf_top1_score", "rrf_top1_gap", "frac_both_in_topk",
+    "frac_bm25_only_in_topk", "frac_dense_only_in_topk", "top1_in_dense_pool", "top1_in_bm25_pool", "top1_both_retrievers",
+    "bm25_rank_mean_topk", "dense_rank_mean_topk", "query_num_in_top1_chunk",
+)
 
 _CHUNK = ["statute_name", "source_file", "section_title", "section_number", "is_superseded", "text"]
 _OPTIONAL = {"bm25_score": "double", "dense_rank": "int", "bm25_rank": "int", "rrf_score": "double", "graph_distance": "int", "graph_seed_origin": "long"}
