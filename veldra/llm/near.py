@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from veldra.llm import simhash
 from veldra.llm.common import FILTER_BITS, key_filter, materialize
-from veldra.llm.components import connected_components
 from veldra.llm.simhash import components_of, row_keys, rows_that_stay
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -124,9 +123,11 @@ def compare(rows: Iterator[tuple[int, int, bytes]], least: float = SIMILARITY) -
 
 def links(docs: DataFrame, reps: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` that span every class of the distinct sets ``reps(fp, rep, sim, bands)`` of ``docs``."""
-    classes = connected_components(simhash.links(materialize(reps.select(F.col("sim").alias("fp")).distinct(), "fingerprints")))
-    alike = reps.select("fp", "sim").join(classes, F.col("sim") == F.col("node"), "left")
-    buckets = reps.select("fp", F.explode("bands").alias("band")).union(alike.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("label", "sim"))))
+    sims = materialize(reps.select(F.col("sim").alias("fp")).distinct(), "fingerprints")
+    stars = materialize(simhash.links(sims), "simhash-links")  # each link's ends are in one star
+    places = stars.union(stars.select("b", "b")).union(sims.select("fp", "fp")).toDF("node", "root").distinct()
+    alike = reps.select("fp", "sim").join(places, F.col("sim") == F.col("node")).select("fp", F.xxhash64(F.lit("simhash"), "root"))
+    buckets = reps.select("fp", F.explode("bands").alias("band")).union(alike)
     members = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in range(2)]
     sized = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *members).where("n > 1")
     # Bands that hold the same sets are compared once.
