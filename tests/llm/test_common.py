@@ -46,20 +46,27 @@ def test_batches_are_small_unless_asked_otherwise(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("master, fine", [("local[4]", True), ("yarn", False)])
-def test_no_local_folder_on_a_cluster(spark, master, fine, monkeypatch):
-    class Context:
-        pass
-
+@pytest.mark.parametrize(
+    "master, conf, want",
+    [
+        ("local[4]", {}, "file:/w"), ("yarn", {}, None), ("local-cluster[3,2,1000]", {}, None), ("yarn", {"spark.sql.warehouse.dir": "hdfs:///w/"}, "hdfs:///w"),
+        ("yarn", {"spark.checkpoint.dir": "s3://b/c/"}, "s3://b/c"), ("local[*]", {"spark.checkpoint.dir": "/c"}, "/c"),
+    ],
+)
+def test_no_local_folder_on_a_cluster(master, conf, want):
     class Session:
-        conf = spark.conf
-        sparkContext = Context()
+        class sparkContext:  # noqa: N801
+            pass
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return ({"spark.sql.warehouse.dir": "file:/w"} | conf_of_case).get(key, default)
 
+    conf_of_case = conf
     Session.sparkContext.master = master
-    if spark.conf.get("spark.checkpoint.dir", None):
-        pytest.skip("the session names a folder")
-    if fine:
-        assert common.shared_dir(Session) == spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if want:
+        assert common.shared_dir(Session) == want
     else:
         with pytest.raises(ValueError):
             common.shared_dir(Session)

@@ -39,7 +39,7 @@ _GREEK, _CYRILLIC = "αβγδεζηθικλμνξοπρστυφχψω", "абв
 
 #: Kinds of one group each, in the order in which they are tried.
 KINDS = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
+    "email": r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+(?<=\.\p{L}[\p{L}\p{N}-]{1,62})",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?\p{N})",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "phone": r"(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?!\p{N})|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\p{N}))",
@@ -122,7 +122,7 @@ def canonical(kind: Column, value: Column) -> Column:
 
 
 def keyed_stream(key: bytes, message: Column, numbers: Column) -> Column:
-    """Hex digits of HMAC-SHA256 blocks of ``message``, four for each of so many numbers."""
+    """An array of at least so many numbers, four hex digits each, from HMAC-SHA256 blocks of ``message``."""
     padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in padded), bytes(b ^ 0x5C for b in padded)
 
@@ -130,12 +130,13 @@ def keyed_stream(key: bytes, message: Column, numbers: Column) -> Column:
         said = F.encode(F.concat_ws("|", i.cast("string"), message), "utf-8")
         return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), said), 256))), 256)
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(numbers / 16).cast("int")), block), "")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(numbers / 16).cast("int")), block)
+    return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit("[0-9a-f]{4}"), F.lit(0))))
 
 
 def _draw(stream: Column, i: Column, n: int) -> Column:
     """The ``i``-th number of a stream, below ``n``."""
-    return F.conv(F.substr(stream, (i * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % n
+    return F.conv(F.get(stream, i.cast("int")), 16, 10).cast("int") % n
 
 
 def _pick(alphabet: str, n: Column) -> Column:
@@ -159,7 +160,8 @@ def _same_class(char: Column, stream: Column, i: Column) -> Column:
 
 def _rewrite(text: Column, stream: Column, keep_to: Column, keep_from: Column) -> Column:
     """Characters of ``text`` redrawn by class but for the first ``keep_to`` and those from ``keep_from`` (0-based)."""
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when((i < keep_to) | (i >= keep_from), c).otherwise(_same_class(c, stream, i))), "")
+    redrawn = lambda k: F.transform(F.split(text, ""), lambda c, i: F.when((i < k["a"]) | (i >= k["b"]), c).otherwise(_same_class(c, stream, i)))
+    return F.array_join(_let(F.struct(keep_to.alias("a"), keep_from.alias("b")), redrawn), "")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -232,7 +234,8 @@ def render(kind: Column, value: Column, made: Column) -> Column:
     )
     fill = F.aggregate(F.split(value, ""), start, step, lambda a: F.concat(a["s"], F.substr(made, a["i"], F.length(made))))
     extra = F.greatest(F.length(made) - F.length(value), F.lit(0))  # characters that a wider space has put in front
-    cased = F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when((i >= extra) & F.substr(value, F.greatest(i - extra + 1, F.lit(1)).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    letters = lambda k: F.transform(F.split(made, ""), lambda c, i: F.when((i >= k["n"]) & F.get(k["old"], F.greatest(i - k["n"], F.lit(0)).cast("int")).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    cased = F.array_join(_let(F.struct(F.split(value, "").alias("old"), extra.cast("int").alias("n")), letters), "")
     name = F.array_join(F.transform(F.split(made, "-"), F.initcap), "-")
     return F.when(kind == "email", cased).when(kind == "ip", made).when(kind.isin("given", "surname"), name).otherwise(fill)
 
