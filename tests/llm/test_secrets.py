@@ -71,6 +71,16 @@ def test_forms_that_training_never_saw(spark, forest):
     assert sum(got[i] for i in range(len(secret), len(secret) + len(harmless))) <= 1
 
 
+def test_words_beside_a_secret(spark, forest):
+    # An address or a path is no word, and a word alone does not clear what is assigned to a secret's name.
+    value = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'a@mail.example.com b token = "{value}" c'), (2, f'for example this token = "{value}" c'), (3, f"commit {value} was merged"), (4, f'see test/id.sha1_x token = "{value}"')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {r.doc_id: r.against_words for r in secrets.features(secrets.candidates(docs), WORDS).collect()}
+    assert seen == {1: 0.0, 2: 1.0, 3: 1.0, 4: 0.0}
+    assert {r.doc_id: r.is_secret for r in secrets.scan(docs, forest, WORDS).collect()} == {1: True, 2: True, 3: False, 4: True}
+
+
 def test_partitions_do_not_matter(spark):
     rows = secrets.findings(spark, WORDS, 1200)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

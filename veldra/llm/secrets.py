@@ -97,7 +97,8 @@ def candidates(docs: DataFrame, path_col: str = "source") -> DataFrame:
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
-    return F.lower(text).rlike(rf"(?<![a-z])(?:{'|'.join(words)})(?![a-z])").cast("double")
+    """Whether one of ``words`` stands in the text by itself: not inside an address, a path or another name."""
+    return F.lower(text).rlike(rf"(?<![a-z0-9.@/_-])(?:{'|'.join(words)})(?![a-z0-9@/_-]|\.[a-z0-9])").cast("double")
 
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -115,7 +116,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "issued": value.rlike("|".join(ISSUED)).cast("double"),
         "for_words": _any_word(text, FOR_WORDS),
         "against_words": _any_word(text, AGAINST_WORDS),
-        "path_words": _any_word(F.coalesce("path", F.lit("")), PATHS),
+        "path_words": F.lower(F.coalesce("path", F.lit(""))).rlike(rf"(?<![a-z])(?:{'|'.join(PATHS)})(?![a-z])").cast("double"),
     }
     for a, first in CLASSES.items():
         for b, second in CLASSES.items():
@@ -166,6 +167,8 @@ def findings(spark: SparkSession, words: list[str], n: int = 9000) -> DataFrame:
     cut = lambda text, i, lengths: F.substr(text, F.lit(1), among(i, lengths))
     invented = lambda i, k: F.concat(*[syllable(i + j) for j in range(k)])
     prose = F.when(draw(90, 2) == 0, F.concat_ws(" ", word(91), word(92), word(93), word(94))).otherwise(F.concat_ws(" ", *[invented(100 + 10 * k, 3) for k in range(4)]))
+    # Any word may stand beside a secret, also one that speaks against it.
+    prose = F.when(draw(99, 4) == 0, F.concat_ws(" ", prose, among(89, AGAINST_WORDS), word(88))).otherwise(prose)
     after = F.concat(among(95, (' "', "\n", " ", ", ", '" ')), F.when(draw(96, 2) == 0, word(97)).otherwise(invented(150, 3)))
     name = among(1, [w + s for w in ASSIGNED for s in (' = "', "=", ": ", '": "', " = ")])
     name = F.when(draw(2, 4) == 0, F.upper(name)).otherwise(name)
