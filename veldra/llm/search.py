@@ -30,7 +30,7 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Query terms stand in so many documents at least: what stands in one finds nothing else.
 MIN_DF = 2
 #: Documents of a shard, documents of a run (block), queries of a block.
-SHARD, RUN, QUERIES = 8192, 64, 65_536
+SHARD, RUN, QUERIES = 12_288, 64, 65_536
 #: Scores are rounded to so many digits before they are compared, so that ties go by id alone.
 DIGITS = 6
 #: Sums of floats in another order differ by less than this; bounds give way by as much.
