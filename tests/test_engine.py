@@ -212,3 +212,32 @@ def test_method_names():
     for name, retriever, index in [("hybrid_graph_section_v1", "hybrid_graph", "section_v1"), ("hybrid_graph", "hybrid_graph", "section_v1"), ("hybrid_graph_x", "hybrid_graph", "section_x"), ("graph_v2", "graph", "section_v2"), ("graph", "graph", "section_v1"), ("hybrid_section_v1_qfi", "hybrid", "section_v1"), ("section_v1_qfi", "dense", "section_v1"), ("baseline", "dense", "baseline")]:
         m = methods.resolve(name)
         assert (m.retriever, m.index, m.rewrites) == (retriever, index, name.endswith("_qfi"))
+
+
+def test_what_administrators_see(spark):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    params = {"depth": 2, "leaf": 4}
+    tree = models.fit(rows, ["a", "b"], "decision_tree", params)
+    table = spark.createDataFrame([("m", "decision_tree", 1.0), ("n", "logreg_l2", 0.5)], "method string, model string, cv_bal_acc double")
+    seen = reports.admin("m", rows, ["a", "b"], "decision_tree", params, tree, table)
+    assert [m["model"] for m in seen["models"]] == ["decision_tree"] and seen["importances"][0]["name"] == "a" and len(seen["tree"]) >= 3
+    assert seen["headline"] == {"questions": 60, "accuracy": pytest.approx(1 / 3), "right_when_confident": 1.0, "wrong_answers_flagged": 1.0}
+    examples = rows.select("id", "a", "b", (F.col("label") == 1).alias("passed"), F.lit("q").alias("question"))
+    shown = reports.pathways(examples, ["a", "b"], ["7", "none", "3"], tree)
+    assert [(s["id"], s["passed"], s["path"][-1]["prediction"]) for s in shown] == [("7", False, 0.0), ("3", True, 1.0)]
+    assert "path" not in reports.pathways(examples, ["a"], ["3"])[0]
+
+
+def test_methods_on_offer(spark):
+    held = spark.createDataFrame([("baseline", 1), ("baseline", 2), ("other", 3)], "method string, n int")
+    got = [(r.id, r.recommended, r.has_classifier) for r in reports.method_list(spark, held).collect()]
+    assert got[0] == ("section_v1", True, False) and ("baseline", False, True) in got and len(got) == len(methods.CATALOG)
+
+
+def test_pages_are_scanned_in_order(spark, tmp_path):
+    for name in ("b/x.html", "a/y.html", "a/z.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"<p>{name} é</p>", encoding="utf-8")
+    rows = stores.scan_html(spark, f"file://{tmp_path}", "vero").collect()
+    assert [r.path.rsplit("/", 2)[1:] for r in rows] == [["a", "y.html"], ["b", "x.html"]]
+    assert rows[0].html == "<p>a/y.html é</p>" and rows[0].publisher == "vero"

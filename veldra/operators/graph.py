@@ -58,8 +58,8 @@ def edges(chunks: DataFrame) -> DataFrame:
 
 
 def edge_counts(made: DataFrame) -> DataFrame:
-    """``(etype, edges)``: undirected edges of each type with multiplicity."""
-    return made.groupBy("etype").agg((F.count(F.lit(1)) / 2).cast("long").alias("edges"))
+    """``(etype, edges)``: undirected edges of each type with multiplicity, the most frequent first."""
+    return made.groupBy("etype").agg((F.count(F.lit(1)) / 2).cast("long").alias("edges")).orderBy(F.desc("edges"), "etype")
 
 
 def adjacency(made: DataFrame, cap: int = GRAPH_CAP) -> DataFrame:

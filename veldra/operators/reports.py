@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldra.operators import methods, models
 from veldra.sources.stores import write_text
 
 _FEATURE = "name string, importance double"
@@ -68,3 +69,34 @@ def summary(reports: DataFrame, pass_rates: DataFrame) -> DataFrame:
 def pass_rates(results: DataFrame) -> DataFrame:
     """``(method, pass_rate)`` of ``results(method, passed)``."""
     return results.groupBy("method").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))
+
+
+def method_list(spark: SparkSession, reports: DataFrame) -> DataFrame:
+    """``(place, id, label, recommended, has_classifier)``: the methods on offer and which of them have a report."""
+    known = reports.select(F.col("method").alias("id")).distinct().withColumn("has_classifier", F.lit(True))
+    offered = spark.createDataFrame([(i, *m) for i, m in enumerate(methods.CATALOG)], "place int, id string, label string, recommended boolean")
+    return offered.join(known, "id", "left").select("place", "id", "label", "recommended", F.coalesce("has_classifier", F.lit(False)).alias("has_classifier")).orderBy("place")
+
+
+def pathways(examples: DataFrame, features: list[str], ids: list[str], model=None) -> list[dict]:
+    """Chosen questions of ``examples`` (features, outcome and entry together) with some features and a tree's path, in the order of ``ids``."""
+    rows = {r["id"]: r.asDict() for r in examples.where(F.col("id").isin(ids)).collect()}  # as many as were chosen
+    nodes = models.tree_nodes(model, features) if model else []
+    told = [{"id": i, "question": rows[i].get("question"), "passed": rows[i]["passed"], "features": {f: rows[i][f] for f in features}} for i in ids if i in rows]
+    return [t | {"path": models.decision_path(nodes, t["features"])} if nodes else t for t in told]
+
+
+def admin(method: str, rows: DataFrame, features: list[str], kind: str, params: dict, model, table: DataFrame) -> dict:
+    """What an administrator sees of a method: its reports, importances, a tree's layout, confusion out of fold, a headline.
+
+    ``rows(id, label, <features>)`` are judged questions and ``table`` a :func:`summary`.
+    """
+    confusion = models.out_of_fold_confusion(rows, features, kind, params).first().asDict()
+    return {
+        "method": method,
+        "models": [r.asDict() for r in table.where(F.col("method") == method).collect()],  # a row for each kind of model
+        "importances": [{"name": n, "importance": v} for n, v in models.importances(model, features)],
+        "tree": models.tree_layout(models.tree_nodes(model, features)) if kind == "decision_tree" else [],
+        "confusion": confusion,
+        "headline": {"questions": confusion["n"], "accuracy": confusion["raw_accuracy"], "right_when_confident": confusion["confident_precision"], "wrong_answers_flagged": confusion["flag_catch_rate"]},
+    }
