@@ -77,6 +77,64 @@ def test_blocks_end_the_search_of_found_documents():
     assert shard.probed <= 3 * search.RUN
 
 
+def test_queries_together_with_bars_are_exact():
+    # Three kinds of documents, some copies, and bars from none to beyond any score.
+    rng = np.random.default_rng(3)
+    n, kinds = 1500, rng.integers(0, 3, 1500)
+    rows = [(t, d) for d in range(n) for t in {*(kinds[d] * 100 + rng.zipf(1.2, 30) % 100).tolist(), *rng.integers(300, 2000, 5).tolist()}]
+    rows += [(t, n + i) for i in range(12) for t, d in rows if d == 4]
+    term, doc = np.unique(np.array(rows), axis=0).T
+    gain, idf = rng.random(2000)[term] + rng.random(n + 12)[doc] * (doc < n) + 0.1, rng.random(2000) + 0.1
+    asked = [np.unique(term[doc == d]) for d in range(0, 400, 2)]
+    shard = search.Shard(term, doc, gain, weights=(np.arange(2000), idf))
+    total = np.zeros((len(asked), n + 12))
+    for i, terms in enumerate(asked):
+        mine = np.isin(term, terms)
+        total[i] = np.round(np.bincount(doc[mine], weights=(gain * idf[term])[mine], minlength=n + 12), search.DIGITS)
+        total[i, 2 * i] = 0.0
+    best = np.argsort(-total, axis=1, kind="stable")[:, :10]
+    tenth = np.take_along_axis(total, best, 1)[:, -1]
+    at, here = search.places(shard.names, np.concatenate(asked))
+    assert here.all()
+    edge = np.append(0, np.cumsum([len(t) for t in asked]))
+    assert 0 < len(shard.long) < len(shard.names)
+    for bars in (np.full(len(asked), -np.inf), 0.7 * tenth, tenth, np.full(len(asked), 1e6)):
+        for i, (ids, scores) in enumerate(shard.search_all(at, None, edge, list(range(0, 400, 2)), bars, 10)):
+            want = [d for d in best[i].tolist() if total[i, d] >= bars[i]]
+            assert ids.tolist()[: len(want)] == want
+            assert np.allclose(scores[: len(want)], total[i, want])
+
+
+def test_bars_of_shards_before_spare_postings():
+    # All documents have twelve copies; those in another shard tell that nothing but copies can enter.
+    rng = np.random.default_rng(8)
+    texts = [rng.choice(2000, 100, replace=False) for _ in range(250)]
+    term = np.concatenate([t for t in texts for _ in range(12)])
+    doc = np.repeat(np.arange(3000), 100)
+    weights = np.log(1 + 3000 / np.bincount(term, minlength=2000).clip(1))
+    read = []
+    for bar in (-np.inf, weights[texts[0]].sum()):
+        shard = search.Shard(term, doc, np.ones(len(term)))
+        at, _ = search.places(shard.names, texts[0])
+        ids, scores = shard.search_all(at, weights[texts[0]], np.array([0, len(at)]), [0], np.array([bar]), 10)[0]
+        assert ids.tolist() == list(range(1, 11)) and np.allclose(scores, weights[texts[0]].sum())
+        read.append(shard.read)
+    assert read[1] < 0.2 * read[0]
+
+
+def test_shards_of_a_strand(spark, monkeypatch):
+    # Several shards to a task, several blocks of queries, counts of a byte and of more.
+    monkeypatch.setattr(search, "SHARD", 40)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(5000, "the " * 300 + "of and"), (5001, "the " * 70000 + "of and"), (5002, "of and the")], docs.schema)).coalesce(2)
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self: 2))
+    got = sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in search.more_like_this(docs).collect())
+    want = against_sql(spark, docs)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+
+
 def test_queries_have_all_terms(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(100, " ".join(words)), *((i + 1, f"{w} other{i}") for i, w in enumerate(words))]
