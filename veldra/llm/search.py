@@ -138,9 +138,10 @@ class Shard:
                 term, doc, gain = term[one], doc[one], np.add.reduceat(gain, one)
         self.docs, n = docs, len(docs)
         order = np.argsort(term)
-        by_term = term[order]
+        doc, by_term = doc.astype(np.int32), term[order]
         self.start = np.flatnonzero(np.append(True, by_term[1:] != by_term[:-1])) if len(term) else np.zeros(0, np.int64)
         self.names = by_term[self.start]
+        del by_term
         self.size = np.diff(np.append(self.start, len(term)))
         self.by_doc = np.empty(len(term), np.int32)
         self.by_doc[order] = np.repeat(np.arange(len(self.names), dtype=np.int32), self.size)
@@ -154,7 +155,7 @@ class Shard:
         self.long = np.sort(long[np.argsort(-self.size[long], kind="stable")[:LONGS]])
         self.row = np.full(len(self.names), -1)
         self.row[self.long] = np.arange(len(self.long))
-        row = self.row[self.by_doc]
+        row = self.row.astype(np.int32)[self.by_doc]
         posting = np.flatnonzero(row >= 0)
         self.runs = -(-n // RUN)
         held = np.zeros((n, len(self.long)), np.float32)
@@ -164,15 +165,16 @@ class Shard:
         self.place = np.empty(n, np.int64)
         self.place[self.at] = np.arange(n)
         del held
-        local = self.place[doc]
+        local = self.place.astype(np.int32)[doc]
         self.dense = np.zeros((self.runs, len(self.long), RUN), np.float32)
         self.dense[local[posting] // RUN, row[posting], local[posting] % RUN] = gain[posting]
         self.peak = np.ascontiguousarray(self.dense.max(axis=2).T) if n else np.zeros((len(self.long), 0), np.float32)
         self.held = np.count_nonzero(self.dense, axis=2).T.astype(np.float32)
-        self.local, gain = local[order].astype(np.int32), gain[order]
+        del row, posting
+        self.local, gain = local[order], gain[order]
         self.top = np.maximum.reduceat(gain, self.start) if len(term) else np.zeros(0)
         self.gain = gain.astype(np.float32)
-        self.weight = np.zeros(len(self.names))
+        self.weight, self.wanted = np.zeros(len(self.names)), np.zeros(len(self.names), bool)
         #: Sums in single precision, of terms above 0, are off by this share at most.
         self.off = 2 * (len(self.long) + 8) * 2.0**-24
         #: Postings of the lists that were asked for, those read list by list, and those read by document.
@@ -235,14 +237,15 @@ class Shard:
             if found is not None:
                 out[i] = self._exact(found, *whole.pop(i), k)
                 continue
-            if len(got) > k and not bars[i] > 0:
-                cut = self._cut(float(np.partition(got, -k)[-k]))
             sums[i, : len(got)] = got
             cuts[i] = cut
             open_.append(i)
         if not open_:
             return out
         best = sums.reshape(len(skip), self.runs, RUN).max(axis=2)
+        if self.runs > k:  # so many runs have a document with that sum
+            bars = np.partition(best, -k, axis=1)[:, -k].astype(float)
+            cuts = np.maximum(cuts, bars - SLACK - self.off * np.abs(bars), where=bars > 0, out=cuts)
         alive = best + bound >= cuts[:, None]
         for i in open_:
             runs = np.flatnonzero(alive[i])
@@ -301,9 +304,14 @@ class Shard:
         size = self.doc_start[found + 1] - self.doc_start[found]
         posting = np.repeat(self.doc_start[found] - np.cumsum(size) + size, size) + np.arange(size.sum())
         self.probed += len(posting)
-        self.weight[lists] = 1.0 if weights is None else weights
-        score = np.bincount(np.repeat(np.arange(len(found)), size), weights=self.weight[self.by_doc[posting]] * self.by_doc_gain[posting], minlength=len(found))
-        self.weight[lists] = 0.0
+        self.wanted[lists] = True
+        posting = posting[self.wanted[self.by_doc[posting]]]
+        self.wanted[lists] = False
+        gain = self.by_doc_gain[posting]
+        if weights is not None:
+            self.weight[lists] = weights
+            gain = gain * self.weight[self.by_doc[posting]]
+        score = np.bincount(np.searchsorted(self.doc_start[found], posting, side="right") - 1, weights=gain, minlength=len(found))
         score = np.round(score, DIGITS)
         best = np.lexsort((self.docs[found], -score))[:k]
         return self.docs[found[best]], score[best]
