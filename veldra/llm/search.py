@@ -71,7 +71,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
                 terms, _, term, tf = counted(texts.slice(first, last - first))
                 words += int(tf.sum())
                 held = np.bincount(term, minlength=len(terms))
-                for t, n in zip(terms.to_pylist(), held.tolist(), strict=True):
+                for t, n in zip(terms.to_numpy(zero_copy_only=False), held.tolist(), strict=True):
                     if n:
                         counts[t] = counts.get(t, 0) + n
                 if len(counts) > 400_000:
@@ -98,7 +98,7 @@ def postings(docs: DataFrame, wanted: np.ndarray, seed: int) -> DataFrame:
             texts = pc.fill_null(batch.column(1), "")
             for first, last in slices(texts):
                 terms, doc, term, tf = counted(texts.slice(first, last - first))
-                tid = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in terms.to_pylist()), dtype=np.uint64, count=len(terms))
+                tid = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in terms.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(terms))
                 at = tid & np.uint64(FILTER_BITS - 1)
                 kept = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)[term]
                 dl = np.bincount(doc, weights=tf, minlength=last - first).astype(np.int64)
